@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import piece_codec, quality
+from tonewright.llm import packing, piece_codec, quality, token_counts
 from tonewright.llm.common import documents, table
 from tonewright.llm.oracles import QUALITY_SQL
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_table(token_counts.length_histogram(documents(table(spark, sf_dir, "documents"))))
+
+
+def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(table(spark, sf_dir, "documents")))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(table(spark, sf_dir, "documents")))
 
@@ -18,6 +26,8 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op7_cost_packing": op7_cost_packing,
     "op9_line_quality": op9_line_quality,
     "op10_piece_codec": op10_piece_codec,
 }
