@@ -142,3 +142,15 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def in_order(df: DataFrame, column: str, *then: str, parts: int | None = None) -> DataFrame:
+    """Rows dealt to partitions by ranges of ``column`` and sorted there, with their ``range``.
+
+    Ranges lie near quantiles of the column, which is read alone for them. Partition k holds
+    range k, so partitions follow one another in the column's order; nulls come first.
+    """
+    parts = parts or parts_for(df.sparkSession)
+    bounds = range_bounds(df.select(column), column, parts)
+    dealt = df.withColumn("range", range_of(column, bounds)).repartitionById(len(bounds) + 1, F.col("range"))
+    return dealt.sortWithinPartitions("range", column, *then)

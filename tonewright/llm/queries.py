@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import packing, piece_codec, quality, token_counts
+from tonewright.llm import packing, piece_codec, quality, token_counts, wavelet
 from tonewright.llm.common import documents, table
 from tonewright.llm.oracles import QUALITY_SQL
 
 
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digest_shards(spark, wavelet.write_shards(documents(table(spark, sf_dir, "documents"))))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.length_histogram(documents(table(spark, sf_dir, "documents"))))
 
@@ -26,6 +30,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_wavelet_shards": op2_wavelet_shards,
     "op3_token_counts": op3_token_counts,
     "op7_cost_packing": op7_cost_packing,
     "op9_line_quality": op9_line_quality,
