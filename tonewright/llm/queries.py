@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import packing, piece_codec, quality, token_counts, wavelet
+from tonewright.llm import packing, piece_codec, quality, token_counts, warc, wavelet
 from tonewright.llm.common import documents, table
 from tonewright.llm.oracles import QUALITY_SQL
 
@@ -17,6 +17,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.length_histogram(documents(table(spark, sf_dir, "documents"))))
 
 
+def op4_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_digest(table(spark, sf_dir, "pages"))
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(table(spark, sf_dir, "documents")))
 
@@ -32,6 +36,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_token_counts": op3_token_counts,
+    "op4_warc_captures": op4_warc_captures,
     "op7_cost_packing": op7_cost_packing,
     "op9_line_quality": op9_line_quality,
     "op10_piece_codec": op10_piece_codec,
