@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import packing, piece_codec, quality, token_counts, warc, wavelet
+from tonewright.llm import packing, piece_codec, quality, simhash, token_counts, warc, wavelet
 from tonewright.llm.common import documents, table
 from tonewright.llm.oracles import QUALITY_SQL
 
@@ -25,6 +25,10 @@ def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(table(spark, sf_dir, "documents")))
 
 
+def op8_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(table(spark, sf_dir, "documents")))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(table(spark, sf_dir, "documents")))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_warc_captures": op4_warc_captures,
     "op7_cost_packing": op7_cost_packing,
+    "op8_popcount_simhash": op8_popcount_simhash,
     "op9_line_quality": op9_line_quality,
     "op10_piece_codec": op10_piece_codec,
 }
