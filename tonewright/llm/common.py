@@ -154,3 +154,42 @@ def in_order(df: DataFrame, column: str, *then: str, parts: int | None = None) -
     bounds = range_bounds(df.select(column), column, parts)
     dealt = df.withColumn("range", range_of(column, bounds)).repartitionById(len(bounds) + 1, F.col("range"))
     return dealt.sortWithinPartitions("range", column, *then)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, such as a manifest, whole or not at all: by a rename."""
+    fs, where = _file_system(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    fs.rename(draft, where)
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None if there is none."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished steps: it follows the collector."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import packing, piece_codec, quality, simhash, token_counts, warc, wavelet
+from tonewright.llm import packing, piece_codec, quality, simhash, substring_index, token_counts, warc, wavelet
 from tonewright.llm.common import documents, table
 from tonewright.llm.oracles import QUALITY_SQL
 
@@ -21,6 +21,10 @@ def op4_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digest(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.word_digest(documents(table(spark, sf_dir, "documents")))
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(table(spark, sf_dir, "documents")))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_token_counts": op3_token_counts,
     "op4_warc_captures": op4_warc_captures,
+    "op6_substring_index": op6_substring_index,
     "op7_cost_packing": op7_cost_packing,
     "op8_popcount_simhash": op8_popcount_simhash,
     "op9_line_quality": op9_line_quality,
