@@ -63,3 +63,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT base_failed AND 100 * lost_words <= 30 * n_words AS kept, lost_words::BIGINT AS lost_words
 FROM verdict
 """
+
+
+LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos
+  FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), t AS (
+  SELECT doc_id, pos, line, lead(line) OVER o AS b, lead(line, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), again AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, pos) AS nth FROM t WHERE c IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM again, (VALUES (0), (1), (2)) AS s(k) WHERE nth > 1
+), marked AS (
+  SELECT l.doc_id, l.ln, l.line, w.pos, g.pos IS NOT NULL AS cut
+  FROM l LEFT JOIN w USING (doc_id, ln) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos
+)
+SELECT doc_id, count(pos) AS n_lines, count(*) FILTER (cut) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT cut), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

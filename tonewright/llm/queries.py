@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import packing, piece_codec, quality, simhash, substring_index, token_counts, warc, wavelet
+from tonewright.llm import line_dedup, packing, piece_codec, quality, simhash, substring_index, token_counts, warc, wavelet
 from tonewright.llm.common import documents, table
-from tonewright.llm.oracles import QUALITY_SQL
+from tonewright.llm.oracles import LINES_SQL, QUALITY_SQL
 
 
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_digest(table(spark, sf_dir, "pages"))
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(documents(table(spark, sf_dir, "documents")))
+
+
 def op6_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.word_digest(documents(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_token_counts": op3_token_counts,
     "op4_warc_captures": op4_warc_captures,
+    "op5_line_winnowing": op5_line_winnowing,
     "op6_substring_index": op6_substring_index,
     "op7_cost_packing": op7_cost_packing,
     "op8_popcount_simhash": op8_popcount_simhash,
@@ -53,5 +58,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_line_winnowing": LINES_SQL,
     "op9_line_quality": QUALITY_SQL,
 }
