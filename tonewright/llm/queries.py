@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewright.llm import line_dedup, packing, piece_codec, quality, simhash, substring_index, token_counts, warc, wavelet
+from tonewright.llm import edit_fingerprint, line_dedup, packing, piece_codec, quality, simhash, substring_index, token_counts, warc, wavelet
 from tonewright.llm.common import documents, table
 from tonewright.llm.oracles import LINES_SQL, QUALITY_SQL
 
 
+def op1_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.edited_likeness(documents(table(spark, sf_dir, "documents")))
+
+
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest_shards(spark, wavelet.write_shards(documents(table(spark, sf_dir, "documents"))))
 
@@ -46,6 +50,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_edit_fingerprint": op1_edit_fingerprint,
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_token_counts": op3_token_counts,
     "op4_warc_captures": op4_warc_captures,
