@@ -60,14 +60,23 @@ def record(kind: str, own_id: str, block: bytes, content_type: str, uri: str, da
     return pack.compress(lines.encode() + block + b"\r\n\r\n") + pack.flush()
 
 
+def members(data: bytes, step: int = 16_384) -> Iterator[bytes]:
+    """The inflated gzip members of a file; what follows a member is looked at in small steps."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof:
+            part = view[at : at + step]
+            if not len(part):
+                raise ValueError("a gzip member is cut short")
+            out.append(unpack.decompress(part))
+            at += len(part) - len(unpack.unused_data)
+        yield b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of a .warc.gz file."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        member = unpack.decompress(data) + unpack.flush()
-        if not unpack.eof:
-            raise ValueError("a gzip member is cut short")
-        data = unpack.unused_data
+    for member in members(data):
         at = 0
         while at < len(member):
             end = member.index(b"\r\n\r\n", at)
