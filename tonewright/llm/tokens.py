@@ -20,7 +20,7 @@ import re
 from tonewright.llm.common import tokenizer_path
 
 #: Chunks in each of the two halves of a Python worker's memory.
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 600_000
 CHECK_EVERY = 64
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -65,7 +65,8 @@ class ChunkEncoder:
                 return False
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
             ranks: dict[bytes, int] = {}
-            self.ids: dict[int, int] = {}
+            self.packed: dict[int, bytes] = {}
+            self.words: dict[bytes, bytes] = {}
             for token, i in vocab.items():
                 if token in special:
                     continue
@@ -74,7 +75,7 @@ class ChunkEncoder:
                 key = body + b"\xff" * end
                 rank = i + 1000 if len(body) > 1 else i
                 ranks[key] = rank
-                self.ids[rank] = i
+                self.packed[rank] = i.to_bytes(4, "little")
             if len(ranks) != len(vocab.keys() - special) or b"\xff" not in ranks:
                 return False
             self.core = tiktoken.Encoding("w", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -87,16 +88,24 @@ class ChunkEncoder:
         self.encoding = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         return True
 
-    def _merge(self, chunk: bytes) -> list[int]:
-        if self.by_word:
-            out: list[int] = []
-            for m in self.pattern.findall(chunk.decode().lower()):
-                out += [self.ids[r] for r in self.core.encode_single_piece(m.encode() + b"\xff")]
-            return out
-        return self.encoding.encode_ordinary(chunk.decode())
-
-    def _ask(self, chunks: list[bytes]) -> list[list[int]]:
-        return [self.library.encode(c.decode(), add_special_tokens=False).ids for c in chunks]
+    def _merge(self, chunk: bytes) -> bytes:
+        """Packed ids of a chunk of plain Latin characters."""
+        if not self.by_word:
+            return _packed(self.encoding.encode_ordinary(chunk.decode()))
+        low = chunk.lower() if chunk.isascii() else chunk.decode().lower().encode()
+        words = [low] if low.isalpha() else [m.encode() for m in self.pattern.findall(low.decode())]
+        out = []
+        for w in words:
+            if (got := self.words.get(w)) is None:
+                if len(self.words) >= CACHE_CHUNKS // 2:
+                    self.words.clear()
+                packed = self.packed
+                got = self.words[w] = b"".join([packed[r] for r in self.core.encode_single_piece(w + b"\xff")])
+            out.append(got)
+        return b"".join(out)
+
+    def _ask(self, chunk: bytes) -> bytes:
+        return _packed(self.library.encode(chunk.decode(), add_special_tokens=False).ids)
 
     def _learn(self, chunks: list[bytes]) -> None:
         if len(self.fresh) + len(chunks) > CACHE_CHUNKS:
@@ -110,13 +119,13 @@ class ChunkEncoder:
             if self.trusted and _PLAIN.fullmatch(c):
                 ids = self._merge(c)
                 self.learnt += 1
-                if self.learnt % CHECK_EVERY == 0 and ids != self._ask([c])[0]:
+                if self.learnt % CHECK_EVERY == 0 and ids != self._ask(c):
                     self.trusted = False
                     self.fresh, self.older = {}, {}
                     return self._learn(chunks)
             else:
-                ids = self._ask([c])[0]
-            self.fresh[c] = _packed(ids)
+                ids = self._ask(c)
+            self.fresh[c] = ids
         return None
 
     def chunks(self, text: bytes) -> list[bytes]:
