@@ -188,8 +188,12 @@ def read_file(spark: SparkSession, path: str) -> str | None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps: it follows the collector."""
+    """Let Spark's cleaner drop shuffle files of finished steps: it follows the collector, and
+    works beside it, so that it is given a moment."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

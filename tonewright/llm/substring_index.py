@@ -109,7 +109,9 @@ def _windows(docs: DataFrame) -> DataFrame:
                 col = part.column("hashes")
                 for text, k in zip(raw(part), range(part.num_rows), strict=True):
                     h = word_hashes(text)
-                    hit = np.isin(_signed(window_minima(h)), col[k].values.to_numpy())
+                    asked = np.sort(col[k].values.to_numpy())
+                    least = _signed(window_minima(h))
+                    hit = asked[np.minimum(np.searchsorted(asked, least), len(asked) - 1)] == least
                     w1 = rolled(h, WINDOW, _A)[hit]
                     w1, at = np.unique(w1, return_index=True)
                     w1s.append(_signed(w1))
@@ -168,8 +170,9 @@ class FingerprintIndex:
             texts = texts.union(corpus.select("doc_id", "text", F.lit(False).alias("new")))
         windows = saved(_windows(texts.join(wanted, ["doc_id", "new"])), "windows")
         release(spark)
-        firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("new", "doc_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        lost = windows.where("new").join(firsts, ["w1", "w2"]).where("NOT first.new OR doc_id > first.doc_id").select("doc_id", "w1")
+        # plain numbers, so that the aggregation hashes; a struct's minimum would have to sort
+        firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.bool_and("new").alias("fresh"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        lost = windows.where("new").join(firsts, ["w1", "w2"]).where("NOT fresh OR doc_id > first").select("doc_id", "w1")
         out = saved(lost, "lost")
         remove(spark, windows.inputFiles()[0].rpartition("/")[0]) if windows.inputFiles() else None
         # the sorted rows of this batch are the new run; what history gave to the join goes

@@ -39,7 +39,7 @@ def char_table(spark: SparkSession, path: str, system: PhoneticSystem) -> DataFr
     """A character table: code point in column 0, readings in column 3, at least five columns.
     Rows without a code point or readings are skipped; of a code point's rows the last counts."""
     raw = lines(spark, path).where(F.size(F.split("value", "\t", -1)) >= 5)
-    rows = raw.select("line", tx.parse_codepoint(F.trim(_column(0))).alias("cp"), F.filter(F.transform(F.split(_column(3), ","), F.trim), lambda r: r != "").alias("r"))
+    rows = raw.select("line", tx.parse_codepoint(F.trim(_column(0))).alias("cp"), F.filter(F.transform(F.split(_column(3), ","), lambda x: F.trim(x)), lambda r: r != "").alias("r"))
     last = rows.where((F.col("cp") >= 0) & (F.size("r") > 0)).groupBy("cp").agg(F.max_by("r", "line").alias("r"))
     return _readings(last.select("cp", F.posexplode("r").alias("ord", "n")), system.name, F.col("n"), system.tones)
 
@@ -47,7 +47,7 @@ def char_table(spark: SparkSession, path: str, system: PhoneticSystem) -> DataFr
 def polyphone_rows(spark: SparkSession, path: str) -> DataFrame:
     """(cps, text, readings) of a polyphone table; rows of another form or count are skipped."""
     rows = lines(spark, path).where(F.size(F.split("value", "\t", -1)) >= 3)
-    cps, readings = tx.parse_codepoints(F.trim(_column(0))), F.filter(F.transform(F.split(_column(2), ","), F.trim), lambda r: r != "")
+    cps, readings = tx.parse_codepoints(F.trim(_column(0))), F.filter(F.transform(F.split(_column(2), ","), lambda x: F.trim(x)), lambda r: r != "")
     out = rows.select("line", cps.alias("cps"), readings.alias("readings")).where("cps IS NOT NULL AND size(cps) = size(readings)")
     last = out.groupBy("cps").agg(F.max_by("readings", "line").alias("readings"))
     return last.select("cps", tx.from_codepoints(F.col("cps")).alias("text"), "readings")
@@ -96,7 +96,7 @@ def field_readings(value: Column) -> Column:
     """Readings of a field such as ``10028.100:zhōng,zhòng``: what stands before a colon goes."""
     tokens = F.filter(F.split(F.trim(value), r"\s+"), lambda t: t != "")
     after = F.transform(tokens, lambda t: F.when(t.contains(":"), F.substring(t, F.instr(t, ":") + 1, F.lit(1 << 20))).otherwise(t))
-    return F.filter(F.transform(F.flatten(F.transform(after, lambda t: F.split(t, ","))), F.trim), lambda r: r != "")
+    return F.filter(F.transform(F.flatten(F.transform(after, lambda t: F.split(t, ","))), lambda x: F.trim(x)), lambda r: r != "")
 
 
 def field_frequencies(value: Column) -> Column:
