@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,9 +58,22 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters these hold."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever else the table carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*columns(names))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with marks behind it until no taken name equals it in any case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,6 +181,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``saved`` has written, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def write_file(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file, such as a manifest, whole or not at all: by a rename."""
     fs, where = _file_system(spark, path)

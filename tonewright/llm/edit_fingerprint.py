@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import SLICE_BYTES, arrow_map, parts_for, range_bounds, range_of, raw, slices
+from tonewright.llm.common import SLICE_BYTES, arrow_map, documents, parts_for, range_bounds, range_of, raw, slices
 
 SLOTS = 128
 BANDS = 32
@@ -238,7 +238,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                         yield flush()
                         held, size = ([] if guest else held[-1:]), len(text)
 
-    return arrow_map(_followed(docs), run, _COLUMNS)
+    return arrow_map(_followed(documents(docs)), run, _COLUMNS)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(raw(part)), pa.string())], ["doc_id", "fingerprint"])
 
-    return arrow_map(docs, run, "doc_id long, fingerprint string")
+    return arrow_map(documents(docs), run, "doc_id long, fingerprint string")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -296,7 +296,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8, verify: bool = True, bands:
     pairs = met.withColumn("likeness", same / F.lit(float(SLOTS))).where(F.col("likeness") >= least).drop("fa", "fb")
     if not verify:
         return pairs
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = documents(docs).groupBy("doc_id").agg(F.min("text").alias("text"))
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

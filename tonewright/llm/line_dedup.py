@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, raw, saved, slices
+from tonewright.llm.common import arrow_map, columns, free_name, raw, saved, slices
 from tonewright.llm.substring_index import rolled
 
 WINDOW = 3
@@ -76,9 +76,10 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return arrow_map(docs, run, "fp long, doc_id long, rid long, windows array<struct<start:int,w1:long,w2:int>>")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Texts without nulls, and a number that tells texts of one doc_id apart."""
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rid", F.xxhash64("text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Texts without nulls, and the column of a number that tells texts of one doc_id apart."""
+    rid = free_name("rid", docs.columns)
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(rid, F.xxhash64("text")), rid
 
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -99,9 +100,13 @@ def cut_lines(text: bytes, starts: np.ndarray, window: int = WINDOW) -> tuple[by
     return b"\n".join([x for k, x in enumerate(lines) if k not in gone]), len(own), len(gone)
 
 
-def _cut(keyed: DataFrame, window: int) -> DataFrame:
-    lost = repeated_windows(keyed, window).groupBy("doc_id", "rid").agg(F.collect_list("start").alias("starts"))
-    return keyed.join(lost, ["doc_id", "rid"], "left")
+def _cut(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """The rows with the starts of the windows they lose, and the name of that column."""
+    keyed, rid = _keyed(docs)
+    starts = free_name("starts", docs.columns)
+    again = repeated_windows(keyed.select("doc_id", F.col(rid).alias("rid"), "text"), window)
+    lost = again.groupBy("doc_id", F.col("rid").alias(rid)).agg(F.collect_list("start").alias(starts))
+    return keyed.join(lost, ["doc_id", rid], "left").select(*columns(docs.columns), starts), starts
 
 
 def line_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -117,25 +122,25 @@ def line_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 cols.append(pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows]))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    return arrow_map(_cut(_keyed(docs.select("doc_id", "text")), window), run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return arrow_map(_cut(docs.select("doc_id", "text"), window)[0], run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without later repeated runs, n_chars anew; a document that had words
     and lost them all goes."""
     names = docs.columns
-    keyed = _keyed(docs)
+    marked, gone = _cut(docs, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                starts, texts = part.column("starts"), raw(part)
+                starts, texts = part.column(gone), raw(part)
                 new = [cut_lines(t, starts[k].values.to_numpy(), window)[0] if starts[k].is_valid else t for k, t in enumerate(texts)]
                 text = pa.array([t.decode() for t in new], part.schema.field("text").type)
                 out = pa.RecordBatch.from_arrays([text if n == "text" else part.column(n) for n in names], names=names)
                 yield out.filter(pa.array([bool(n.strip()) or not t.strip() for n, t in zip(new, texts, strict=True)], pa.bool_()))
 
-    out = arrow_map(_cut(keyed, window).select(*names, "starts"), run, keyed.select(*names).schema)
+    out = arrow_map(marked, run, marked.drop(gone).schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, raw, saved, slices
+from tonewright.llm.common import arrow_map, forget, raw, saved, slices
 from tonewright.llm.graph import components
 
 SEED = 42
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
 #: Sub-fingerprints of a document in a similarity search, and sampled shingles of each.
 GROUPS, SAMPLE = 20, 4
-#: Members of a group that all its members are held against.
+#: Members of a group that all its members are held against in the first round.
 PIVOTS = 8
 
 
@@ -211,27 +211,55 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, fp long, whole long, subs array<long>, shingles binary")
 
 
-def _group_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b) pairs of (grp, key, node) groups: each member with the group's up to ``PIVOTS``
-    pivots, which every group draws by an order of its own."""
-    sizes = keyed.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = saved(keyed.join(sizes, ["grp", "key"]), "groups")
-    turn = F.struct(F.xxhash64("grp", "node").alias("turn"), "node")
-    heads = shared.groupBy("grp", "key").agg(_least(turn).alias("heads"))
-    return (
-        shared.join(heads, ["grp", "key"])
-        .select("node", F.explode("heads").alias("head"))
-        .where("node <> head")
-        .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-        .distinct()
-    )
+def _heads(members: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` pivots of each group: the least of each hash class under an order of the
+    group's own, so partial aggregates stay of fixed size. Members are (grp, key, node, n); a
+    group of at most ``most`` gives them all."""
+    turn = F.xxhash64("grp", "node")
+    kind = F.when(F.col("n") <= most, F.col("node")).otherwise(F.pmod(turn, F.lit(most)))
+    least = members.select("grp", "key", "node", kind.alias("kind"), turn.alias("turn")).groupBy("grp", "key", "kind")
+    return least.agg(F.min(F.struct("turn", "node")).alias("head")).select("grp", "key", F.col("head.node").alias("head"))
+
 
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def _least(turn: Column) -> Column:
-    """The nodes of the ``PIVOTS`` least turns: one for each of as many hash classes, so that
-    partial aggregates stay of fixed size."""
-    picks = [F.min(F.when(F.pmod(turn["turn"], F.lit(PIVOTS)) == k, turn))["node"] for k in range(PIVOTS)]
-    return F.array_compact(F.array(*picks))
+
+def _linked(keyed: DataFrame, near: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the nodes that candidates of (grp, key) groups, and the candidates
+    ``near``, link; ``verified`` gives the pairs (a, b) that hold.
+
+    Round by round each group holds pivots against all its members. Members outside the group's
+    largest component that haven't been pivots are drawn from in the next round, four times as
+    many; when none is left, every two members have met or are in one component already. Groups
+    of copies are done after one round, whatever their size.
+    """
+    sizes = keyed.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = saved(keyed.join(sizes, ["grp", "key"]), "groups")
+    heads = saved(_heads(members, PIVOTS), "pivots")
+    met = members.join(heads, ["grp", "key"]).where("node <> head").select(*_ordered("node", "head"))
+    sure = verified(saved(met.union(near).where("a <> b").distinct(), "pairs"))
+    linked = saved(components(sure), "components")
+    open_groups, most = members.where(F.col("n") > PIVOTS), PIVOTS
+    while True:
+        most *= 4
+        placed = open_groups.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = placed.groupBy("grp", "key", "component").agg(F.count(F.lit(1)).alias("of"))
+        split = parts.groupBy("grp", "key").agg(F.max_by("component", F.struct("of", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        placed = saved(placed.join(split, ["grp", "key"]), "open")
+        outside = placed.where("component <> main").join(heads.withColumnRenamed("head", "node"), ["grp", "key", "node"], "left_anti")
+        left = outside.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n"))
+        drawn = saved(_heads(outside.drop("n").join(left, ["grp", "key"]), most), "pivots")
+        if drawn.isEmpty():
+            return linked
+        own = drawn.join(placed.select("grp", "key", F.col("node").alias("head"), F.col("component").alias("own")), ["grp", "key", "head"])
+        met = placed.join(own, ["grp", "key"]).where("component <> own").select(*_ordered("node", "head")).distinct()
+        more = verified(saved(met, "pairs"))
+        heads = heads.union(drawn)
+        open_groups = placed.select("grp", "key", "node", "n")
+        if not more.isEmpty():
+            sure = sure.union(more)
+            linked = saved(components(sure), "components")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -241,20 +269,17 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     A radius of two bits reaches only copies with a few changed words in hundreds, so beside the
     links of whole fingerprints, equal sub-fingerprints make candidates; all are verified on the
     shingle sets. Documents with equal sets are one node. At a similarity of 0.8 a pair shares no
-    sub-fingerprint in three of 100,000 cases; two members that are pivots in none of the groups
-    they share are linked through others.
+    sub-fingerprint in three of 100,000 cases; no pair that shares one is left out.
     """
     sketches = saved(_sketches(docs.where("doc_id IS NOT NULL"), words), "sketches")
-    nodes = sketches.groupBy("whole").agg(F.min("doc_id").alias("node"))
-    firsts = saved(sketches.select("doc_id", "fp", "whole", "subs").join(nodes, "whole").where("doc_id = node").dropDuplicates(["node", "whole"]).select("node", "fp", "subs"), "nodes")
+    # a node is a set of shingles, named by its hash; its least document stands for it
+    nodes = sketches.groupBy("whole").agg(F.min("doc_id").alias("least"))
+    firsts = sketches.select("doc_id", "fp", "whole", "subs").join(nodes, "whole").where("doc_id = least").dropDuplicates(["whole"])
+    firsts = saved(firsts.select(F.col("whole").alias("node"), "doc_id", "fp", "subs"), "nodes")
     close = links(firsts.select("fp").distinct())
     by_fp = firsts.groupBy("fp").agg(F.min("node").alias("node"))
-    near = close.join(by_fp.toDF("a", "na"), "a").join(by_fp.toDF("b", "nb"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    near = close.join(by_fp.toDF("a", "na"), "a").join(by_fp.toDF("b", "nb"), "b").select(*_ordered("na", "nb"))
     keyed = firsts.select("node", F.posexplode("subs").alias("grp", "key")).union(firsts.select("node", F.lit(-1).alias("grp"), F.col("fp").alias("key")))
-    pairs = saved(_group_pairs(keyed).union(near).where("a <> b").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(sketches.select("doc_id", "shingles").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,10 +290,22 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
                 sure.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
-    sure = saved(arrow_map(both, run, "a long, b long"), "links")
-    linked = components(sure).withColumnRenamed("component", "component_id")
-    named = nodes.join(linked, "node", "left").select("whole", F.coalesce("component_id", "node").alias("component_id"))
-    return sketches.select("doc_id", "whole").join(named, "whole").select("doc_id", "component_id")
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = firsts.select("node", "doc_id").join(asked, "node").withColumnRenamed("node", "whole")
+        sets = saved(sketches.select("doc_id", "whole", "shingles").join(asked, ["doc_id", "whole"]).dropDuplicates(["whole"]).select("whole", "shingles"), "sets")
+        both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+        out = saved(arrow_map(both, run, "a long, b long"), "links")
+        forget(sets)
+        return out
+
+    linked = _linked(keyed, near, verified)
+    named = nodes.join(linked.withColumnRenamed("node", "whole"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
+    leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_whole = named.join(leasts, "component").select("whole", "component_id")
+    out = saved(sketches.select("doc_id", "whole").join(by_whole, "whole").select("doc_id", "component_id"), "similar")
+    forget(sketches)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

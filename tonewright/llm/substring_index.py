@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, fresh_path, range_bounds, raw, read_file, release, remove, saved, slices, write_file
+from tonewright.llm.common import arrow_map, columns, exists, forget, free_name, fresh_path, range_bounds, raw, read_file, release, remove, saved, slices, write_file
 
 WINDOW = 13
 GRAM = 5
@@ -174,9 +174,10 @@ class FingerprintIndex:
         firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.bool_and("new").alias("fresh"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         lost = windows.where("new").join(firsts, ["w1", "w2"]).where("NOT fresh OR doc_id > first").select("doc_id", "w1")
         out = saved(lost, "lost")
-        remove(spark, windows.inputFiles()[0].rpartition("/")[0]) if windows.inputFiles() else None
+        forget(windows)
         # the sorted rows of this batch are the new run; what history gave to the join goes
-        self._commit([*self.runs, (0, f"{folder}/new=true")])
+        if exists(spark, f"{folder}/new=true"):  # a batch of short texts has no windows
+            self._commit([*self.runs, (0, f"{folder}/new=true")])
         remove(spark, f"{folder}/new=false")
         self.compact()
         release(spark)
@@ -225,8 +226,11 @@ def covered(text: bytes, lost: np.ndarray) -> np.ndarray:
     return mark
 
 
-def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    return docs.join(lost.groupBy("doc_id").agg(F.collect_list("w1").alias("lost")), "doc_id", "left")
+def _with_lost(docs: DataFrame, lost: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with the windows they lose, and the name of that column."""
+    name = free_name("lost", docs.columns)
+    lists = lost.groupBy("doc_id").agg(F.collect_list("w1").alias(name))
+    return docs.join(lists, "doc_id", "left").select(*columns(docs.columns), name), name
 
 
 def word_digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -247,7 +251,8 @@ def word_digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 cols = [part.column("doc_id")] + [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return arrow_map(_with_lost(docs, lost_windows(docs, batches)), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    docs = docs.select("doc_id", "text")
+    return arrow_map(_with_lost(docs, lost_windows(docs, batches))[0], run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: bytes, lost: np.ndarray) -> bytes:
@@ -267,20 +272,20 @@ def cut_documents(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The rows of ``docs`` without repeated windows in text, n_chars anew; a document that has
     words but keeps none goes."""
     keyed = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    lost = lost_windows(keyed.select("doc_id", "text"), batches)
+    marked, lost = _with_lost(keyed, lost_windows(keyed.select("doc_id", "text"), batches))
     names = docs.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in slices(batch):
-                gone = part.column("lost")
+                gone = part.column(lost)
                 texts = raw(part)
                 new = [cut(t, gone[k].values.to_numpy()) if gone[k].is_valid else t for k, t in enumerate(texts)]
                 text = pa.array([t.decode() for t in new], part.schema.field("text").type)
                 out = pa.RecordBatch.from_arrays([text if n == "text" else part.column(n) for n in names], names=names)
                 yield out.filter(pa.array([bool(n.strip()) or not t.strip() for n, t in zip(new, texts, strict=True)], pa.bool_()))
 
-    out = arrow_map(_with_lost(keyed, lost).select(*names, "lost"), run, keyed.select(*names).schema)
+    out = arrow_map(marked, run, marked.drop(lost).schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

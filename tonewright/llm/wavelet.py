@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, fresh_path, in_order, raw, slices
+from tonewright.llm.common import arrow_map, documents, fresh_path, in_order, raw, slices
 from tonewright.llm.tokens import WORD_BPE, encoder, vocabulary
 
 MAGIC = b"WVM1"
@@ -217,7 +217,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
         yield from close()
 
     path = path or fresh_path(docs.sparkSession, "wavelet")
-    shards = arrow_map(in_order(docs, "doc_id", "text"), run, "range int, part long, documents long, tokens long, shard binary")
+    shards = arrow_map(in_order(documents(docs), "doc_id", "text"), run, "range int, part long, documents long, tokens long, shard binary")
     shards.write.option("compression", "uncompressed").parquet(path)
     return path
 
