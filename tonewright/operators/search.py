@@ -65,13 +65,22 @@ def name_index(engine: Engine, names: DataFrame, options: Options) -> DataFrame:
     return found.join(every, "ch", "left").select("key", F.array_distinct(F.concat(F.coalesce(typed, F.array().cast("array<string>")), literal)).alias("surfaces"))
 
 
+#: Prefixes of queries up to which their table is sent to every task; more are joined by shuffle.
+SENT_PREFIXES = 200_000
+#: Steps after which equal spellings of a name are merged.
+MERGE_STEPS = 4
+
+
 def search_batch(engine: Engine, names: DataFrame, queries: DataFrame, options: Options, mode: MatchMode = MatchMode.CONTAINS) -> DataFrame:
     """(qid, id) of all queries (qid, query) against all names (id, name).
 
     Names are spelt from each place a match may start at, a character at a time; what has been
     spelt stays only while it is a prefix of some query. Every step joins by equality: the next
     character with its typed forms, and the spelling with the queries' prefixes. So work follows
-    the spellings that lead somewhere, never names times queries.
+    the spellings that lead somewhere, never names times queries, and there are as many steps as
+    the longest query or name has characters. Found spellings pass through later steps as they
+    are, so that all steps are one plan. The index of characters is bounded by the code points
+    there are, and is sent to every task; the prefixes are while they are few.
     """
     queries = queries.select("qid", "query")
     named = names.select("id", "name")
@@ -79,30 +88,38 @@ def search_batch(engine: Engine, names: DataFrame, queries: DataFrame, options:
     every = named.where("name = ''") if mode is MatchMode.EXACT else named
     asked = queries.where("query <> ''")
     texts = asked.select("query").distinct()
-    prefixes = texts.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("query")), lambda n: F.substring(F.col("query"), F.lit(1), n))).alias("spelt")).distinct().cache()
-    whole = texts.withColumnRenamed("query", "spelt")
-    longest = asked.agg(F.max(F.length("query"))).first()[0] or 0
+    longest, total = texts.agg(F.coalesce(F.max(F.length("query")), F.lit(0)), F.coalesce(F.sum(F.length("query")), F.lit(0))).first()
+    cut = lambda c, n: F.substring(c, F.lit(1), n)
+    prefix = F.transform(F.sequence(F.lit(1), F.length("query")), lambda n: F.struct(cut(F.col("query"), n).alias("spelt"), (n == F.length("query")).alias("whole")))
+    targets = texts.select(F.inline(prefix)).groupBy("spelt").agg(F.max("whole").alias("whole"))
+    targets = F.broadcast(targets) if total <= SENT_PREFIXES else targets
+    index = F.broadcast(name_index(engine, named, options))
     keys = forced_keys(F.col("name"), options) if options.polyphone is PolyphoneMode.PRECISE else tx.chars(F.col("name"))
-    index = name_index(engine, named, options).cache()
+    spelt = named.where("name <> ''").select("id", keys.alias("keys"))
+    if mode is MatchMode.EXACT:
+        spelt = spelt.where(F.size("keys") <= longest)
     starts = F.sequence(F.lit(1), F.size("keys")) if mode is MatchMode.CONTAINS else F.array(F.lit(1))
-    front = named.where("name <> ''").withColumn("keys", keys).select("id", "keys", F.explode(starts).alias("at"), F.lit("").alias("spelt"))
-    hits = []
-    for _ in range(longest):
-        step = front.withColumn("key", F.element_at("keys", F.col("at"))).join(index, "key")
-        step = step.select("id", "keys", "at", "spelt", F.explode("surfaces").alias("typed"))
-        if mode.partial:
-            # the query may end inside what is typed next
-            ends = step.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("typed")), lambda n: F.concat("spelt", F.substring(F.col("typed"), F.lit(1), n)))).alias("spelt"))
-            hits.append(ends.join(whole, "spelt", "left_semi").select("id", "spelt").distinct())
-        front = step.select("id", "keys", (F.col("at") + 1).alias("at"), F.concat("spelt", "typed").alias("spelt"))
-        if not mode.partial:
-            done = front.where(F.col("at") > F.size("keys")).join(whole, "spelt", "left_semi")
-            hits.append(done.select("id", "spelt").distinct())
-        front = front.where(F.col("at") <= F.size("keys")).join(prefixes, "spelt", "left_semi").select("id", "keys", "at", "spelt").distinct()
-    spelt = named.select("id", F.lit("").alias("spelt")).limit(0)
-    for h in hits:
-        spelt = spelt.union(h)
-    out = spelt.distinct().join(asked.withColumnRenamed("query", "spelt"), "spelt").select("qid", "id")
+    # no match takes more characters than its query has
+    state = spelt.select("id", F.explode(F.transform(starts, lambda i: F.slice(F.col("keys"), i, F.lit(longest)))).alias("keys"), F.lit("").alias("spelt"), F.lit(False).alias("done"))
+    steps = min(longest, named.agg(F.coalesce(F.max(F.length("name")), F.lit(0))).first()[0]) if longest else 0
+    for at in range(1, steps + 1):
+        # found spellings have keys that no character has, a different one for each name
+        key = F.when(F.col("done"), F.concat(F.lit("\x02-"), F.xxhash64("id").cast("string"))).otherwise(F.get("keys", F.lit(at - 1)))
+        typed = lambda s: F.struct(F.concat("spelt", s).alias("spelt"), F.lit(True).alias("full"))
+        part = lambda s, n: F.struct(F.concat(F.col("spelt"), cut(s, n)).alias("spelt"), (n == F.length(s)).alias("full"))
+        if mode.partial:  # the query may end inside what is typed next
+            forms = F.array_distinct(F.flatten(F.transform("surfaces", lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda n: part(s, n)))))
+        else:
+            forms = F.transform("surfaces", typed)
+        as_is = F.array(F.struct("spelt", F.lit(True).alias("full")))
+        step = state.withColumn("key", key).join(index, "key", "left").select("id", "keys", "done", F.inline(F.when(F.col("done"), as_is).otherwise(forms)))
+        ends = F.col("full") & (F.size("keys") == at) if mode is MatchMode.EXACT else F.lit(True)
+        found = F.when(F.col("done") | (F.col("whole") & ends), F.lit(True))
+        goes_on = F.when(~F.col("done") & F.col("full") & (F.size("keys") > at), F.lit(False))
+        state = step.join(targets, "spelt").select("id", "keys", "spelt", F.explode(F.array_compact(F.array(found, goes_on))).alias("done"))
+        if at % MERGE_STEPS == 0:
+            state = state.distinct()
+    out = state.where("done").select("id", "spelt").distinct().join(asked.withColumnRenamed("query", "spelt"), "spelt").select("qid", "id")
     if blank.isEmpty():
         return out
     ids = [r.qid for r in blank.collect()]
