@@ -141,7 +141,7 @@ def range_of(column: str, bounds: list[int]) -> Column:
         mid = (lo + hi) // 2
         return f"IF(`{column}` < {bounds[mid]}L, {pick(lo, mid)}, {pick(mid + 1, hi)})"
 
-    return F.coalesce(F.expr(pick(0, len(bounds))), F.lit(0))
+    return F.when(F.col(f"`{column}`").isNull(), 0).otherwise(F.expr(pick(0, len(bounds))))
 
 
 def parts_for(spark: SparkSession) -> int:

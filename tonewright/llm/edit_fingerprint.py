@@ -242,14 +242,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every whole text; no shuffle."""
+    """(doc_id, text_key, fingerprint) of every whole text; equal texts have equal keys. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(raw(part)), pa.string())], ["doc_id", "fingerprint"])
+                texts = raw(part)
+                keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.string()), pa.array(fingerprints(texts), pa.string())], ["doc_id", "text_key", "fingerprint"])
 
-    return arrow_map(documents(docs), run, "doc_id long, fingerprint string")
+    return arrow_map(documents(docs), run, "doc_id long, text_key string, fingerprint string")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -277,23 +279,27 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, verify: bool = True, bands: int = BANDS) -> DataFrame:
-    """(a, b, likeness, edit_similarity) between representatives of equal fingerprints.
+def near_pairs(docs: DataFrame, least: float = 0.8, verify: bool = True, bands: int = BANDS, least_likeness: float = 0.25) -> DataFrame:
+    """(a, b, likeness, edit_similarity) between representatives of equal texts.
 
-    A representative is the least doc_id of its fingerprint. In each bucket all members are held
+    A representative is the least doc_id of its text. In each bucket all members are held
     against the least one, so pairs grow with members, never with their square; a link between
     two others of a bucket is found if they meet in a bucket where one of them is least.
     ``edit_similarity`` is 1 - distance / longer length, and at least ``least`` if verified.
+
+    Walks fall into step again after a random time, so one edit near a text's start can cost most
+    of its likeness: candidates need ``least_likeness`` only, which strangers don't reach, and
+    the distance decides. Such pairs are found more likely than not, not always.
     """
     width = 2 * SLOTS // bands
-    reps = fingerprint_documents(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    reps = fingerprint_documents(docs).groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", k * width + 1, width).alias("bits")) for k in range(bands)])
     buckets = reps.select("doc_id", "fingerprint", F.inline(keys))
     heads = buckets.groupBy("band", "bits").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = buckets.join(heads, ["band", "bits"]).where("doc_id > head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
     slot = lambda c, i: F.substring(c, 2 * i + 1, 2)
     same = sum((slot("fa", i) == slot("fb", i)).cast("int") for i in range(SLOTS))
-    pairs = met.withColumn("likeness", same / F.lit(float(SLOTS))).where(F.col("likeness") >= least).drop("fa", "fb")
+    pairs = met.withColumn("likeness", same / F.lit(float(SLOTS))).where(F.col("likeness") >= least_likeness).drop("fa", "fb")
     if not verify:
         return pairs
     texts = documents(docs).groupBy("doc_id").agg(F.min("text").alias("text"))
