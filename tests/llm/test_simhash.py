@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -106,3 +107,28 @@ def test_keep_one_of_similar(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert Counter(r.doc_id for r in kept.collect()) == wanted
+
+
+def test_passages_that_many_share(spark):
+    """In groups that meet through a common passage every true pair is found."""
+    rng = random.Random(12)
+    passage = fx.words(rng, 45, 100_000)
+    rows = []
+    for k in range(120):
+        own = fx.words(rng, 30, 100_000)
+        rows.append((2 * k, " ".join(passage + own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, " ".join(passage + own[:-1] + ["other"])))
+    of = similar_groups(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar(documents(fx.table(spark, rows))).collect()}
+    assert got == {d: rows[of[k]][0] for k, (d, _) in enumerate(rows)}
+    assert len(set(got.values())) == 120
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(13)
+    for _ in range(100):
+        x, y = (set(rng.sample(range(1 << 32), rng.randrange(200))) for _ in range(2))
+        y |= set(rng.sample(sorted(x), len(x) // 2))
+        px, py = (simhash.parities(np.array(sorted(z), np.uint32)) for z in (x, y))
+        assert sum((int(a) ^ int(b)).bit_count() for a, b in zip(px.view(np.uint64), py.view(np.uint64), strict=True)) <= len(x ^ y)
