@@ -13,9 +13,9 @@ A slot keeps eight bits hashed from the place and the character there; the finge
 slots in hexadecimal, and likeness the share of equal slots, which estimates the share of equal
 places of the longer string.
 
-For search, ``BANDS`` groups of slots are the buckets; pairs in a bucket are held against the
-bucket's least fingerprint, so a bucket of any size gives as many pairs as it has members, and
-pairs are verified by likeness and, where texts are given, by exact edit distance.
+For search the walks are too coarse: edits at a tenth of the places already part most of them.
+There, buckets are grams of characters, as long as a run that edits at the threshold's rate leaves
+untouched; pairs of a bucket are verified by exact edit distance.
 
 Null is the empty text: its slots are zero, alike to empty texts only. Equal texts have equal
 fingerprints. Rows are ordered by doc_id, nulls first, then by text; a table's last row is
@@ -25,6 +25,7 @@ followed by its first, also if that is the same.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import SLICE_BYTES, arrow_map, documents, parts_for, range_bounds, range_of, raw, slices
+from tonewright.llm.common import SLICE_BYTES, arrow_map, documents, parts_for, range_bounds, range_of, raw, saved, slices
+from tonewright.llm.substring_index import rolled
 
 SLOTS = 128
-BANDS = 32
 PERIOD = 4096
 CLASSES = 64
 #: Below so many texts still walking, each is walked by itself.
 FEW = 48
+#: Untouched runs as long as a gram that a pair at the threshold has, as expected of random edits.
+RUNS = 6
+_A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _holds() -> np.ndarray:
@@ -279,39 +283,121 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, verify: bool = True, bands: int = BANDS, least_likeness: float = 0.25) -> DataFrame:
-    """(a, b, likeness, edit_similarity) between representatives of equal texts.
-
-    A representative is the least doc_id of its text. In each bucket all members are held
-    against the least one, so pairs grow with members, never with their square; a link between
-    two others of a bucket is found if they meet in a bucket where one of them is least.
-    ``edit_similarity`` is 1 - distance / longer length, and at least ``least`` if verified.
+def gram_sizes(n: float, least: float) -> tuple[int, int]:
+    """Length of grams, and of windows of grams, for texts of at least ``n`` characters.
 
-    Walks fall into step again after a random time, so one edit near a text's start can cost most
-    of its likeness: candidates need ``least_likeness`` only, which strangers don't reach, and
-    the distance decides. Such pairs are found more likely than not, not always.
+    A window covers a run that some pair at the threshold has wherever its edits are, or a longer
+    one of which random edits leave ``RUNS``.
     """
-    width = 2 * SLOTS // bands
-    reps = fingerprint_documents(docs).groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"))
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", k * width + 1, width).alias("bits")) for k in range(bands)])
-    buckets = reps.select("doc_id", "fingerprint", F.inline(keys))
-    heads = buckets.groupBy("band", "bits").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = buckets.join(heads, ["band", "bits"]).where("doc_id > head.doc_id").select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-    slot = lambda c, i: F.substring(c, 2 * i + 1, 2)
-    same = sum((slot("fa", i) == slot("fb", i)).cast("int") for i in range(SLOTS))
-    pairs = met.withColumn("likeness", same / F.lit(float(SLOTS))).where(F.col("likeness") >= least_likeness).drop("fa", "fb")
-    if not verify:
-        return pairs
-    texts = documents(docs).groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    edits = n * (1 - least)
+    run = max(1, int(n * least / (edits + 1)), int(math.log(max(edits / RUNS, 1)) / -math.log(least)))
+    window = max(1, min(4, run // 4))
+    return run - window + 1, window
+
+
+def anchors(text: bytes, least: float) -> np.ndarray:
+    """Keys of a text: of every window of grams the least hash, for its class of length and the
+    next. Texts whose lengths don't rule the threshold out share a class."""
+    cp = points(text).astype(np.uint64)
+    if not len(cp):
+        return np.zeros(0, np.int64)
+    own = int(math.log(len(cp)) / -math.log(least) + 1e-9)
+    out = []
+    for k in (own, own + 1):
+        gram, window = gram_sizes(max(1.0, least ** (1 - k)), least)
+        g = rolled(cp, gram, _A)
+        m = len(g) - window + 1
+        if m <= 0:
+            continue
+        low = g[:m].copy()
+        for j in range(1, window):
+            np.minimum(low, g[j : m + j], out=low)
+        out.append(np.unique(low) * np.uint64(_B) + np.uint64(k))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _whole_texts(docs: DataFrame) -> DataFrame:
+    """(node, doc_id, fingerprint, text) of each different text, by its least doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = raw(part)
+                nodes = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big", signed=True) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), part.column("doc_id"), pa.array(fingerprints(texts), pa.string()), part.column("text")], ["node", "doc_id", "fingerprint", "text"])
+
+    made = arrow_map(documents(docs).where("doc_id IS NOT NULL"), run, "node long, doc_id long, fingerprint string, text string")
+    return made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fingerprint").alias("fingerprint"), F.min("text").alias("text"))
+
+
+def _anchored(texts: DataFrame, least: float) -> DataFrame:
+    """(key, node) of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = [anchors(t, least) for t in raw(part)]
+                nodes = np.repeat(part.column("node").to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(nodes, pa.int64())], ["key", "node"])
+
+    return arrow_map(texts.select("node", "text"), run, "key long, node long")
+
+
+def may_reach(a: str, b: str, least: float) -> bool:
+    """False only if the grams of three or of four characters that two texts share are too few."""
+    x, y = (points(t.encode()).astype(np.uint64) for t in (a, b))
+    longer = max(len(x), len(y))
+    for q in (3, 4):
+        (u, n), (v, m) = (np.unique(rolled(t, q, _A), return_counts=True) for t in (x, y))
+        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        if longer - q + 1 - int(np.minimum(n[i], m[j]).sum()) > q * (1 - least) * longer + 1e-6:
+            return False
+    return True
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose edit similarity is ``least`` or more, with that and likeness."""
+    sides = [texts.select(F.col("node").alias(k), F.col("fingerprint").alias(f"f{k}"), F.col("text").alias(f"t{k}")) for k in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ta"):
-                got = []
-                for x, y in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True):
-                    got.append(1 - edit_distance(x, y) / max(len(x), len(y), 1))
-                sure = pa.array([g >= least for g in got], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("likeness"), pa.array(got, pa.float64())], ["a", "b", "likeness", "edit_similarity"]).filter(sure)
+                alike, near, sure = [], [], []
+                for x, y, f, g in zip(*(part.column(c).to_pylist() for c in ("ta", "tb", "fa", "fb")), strict=True):
+                    longer = max(len(x), len(y), 1)
+                    alike.append(likeness(f, g))
+                    near.append(1 - edit_distance(x, y) / longer if min(len(x), len(y)) >= least * longer - 1e-6 and may_reach(x, y, least) else -1.0)
+                    sure.append(near[-1] >= least)
+                cols = [part.column("a"), part.column("b"), pa.array(alike, pa.float64()), pa.array(near, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "likeness", "edit_similarity"]).filter(pa.array(sure, pa.bool_()))
 
     return arrow_map(both, run, "a long, b long, likeness double, edit_similarity double")
+
+
+def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, likeness, edit_similarity) between representatives of equal texts.
+
+    A representative is the least doc_id of its text. In each bucket all members are held
+    against the least one, so pairs grow with members, never with their square; a link between
+    two others of a bucket is found if they meet in a bucket where one of them is least.
+    ``edit_similarity`` is 1 - distance / longer length, and at least ``least``.
+
+    Buckets are anchors. Edits that are spread evenly on purpose can leave only shorter runs than
+    a gram has; of random ones at the threshold's rate a few in a thousand do.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least is between 0 and 1")
+    texts = saved(_whole_texts(docs), "texts")
+    keyed = saved(_anchored(texts, least), "anchors")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    return _named(_verified(pairs, texts, least), texts)
+
+
+def _named(sure: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between nodes as links between their doc_ids; of several between two doc_ids the nearest."""
+    ids = texts.select("node", "doc_id")
+    both = sure.join(ids.toDF("a", "da"), "a").join(ids.toDF("b", "db"), "b").where("da <> db")
+    near = both.groupBy(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"))
+    return near.agg(F.max(F.struct("edit_similarity", "likeness")).alias("x")).select("a", "b", "x.likeness", "x.edit_similarity")
