@@ -151,3 +151,22 @@ def test_near_pairs_recall(spark):
                     wanted.setdefault((share, kind), set()).add((k, k + 1))
     got = {(r.a, r.b) for r in ef.near_pairs(documents(fx.table(spark, rows))).collect()}
     assert len(wanted) == 10 and all(len(w & got) >= 0.9 * len(w) for w in wanted.values())
+
+
+def test_near_pairs_of_a_shared_template(spark):
+    """Texts that meet only in buckets of a long common passage, which many strangers have too."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(60))
+    rows = [(k, passage + "".join(rng.choice(letters) for _ in range(240))) for k in range(30)]
+
+    def spread(t):
+        """The passage left as it is, every sixth character of the rest changed."""
+        return t[:60] + "".join("#" if k % 6 == 0 else c for k, c in enumerate(t[60:]))
+
+    rows += [(100 + k, spread(rows[k][1])) for k in range(30)]
+    # two texts of one doc_id; the greater has the near copy
+    own = sorted("".join(rng.choice(letters) for _ in range(300)) for _ in range(2))
+    rows += [(200, own[0]), (200, own[1]), (201, own[1][:150] + "#" + own[1][151:])]
+    got = {(r.a, r.b) for r in ef.near_pairs(documents(fx.table(spark, rows))).collect()}
+    assert got == {(k, 100 + k) for k in range(30)} | {(200, 201)}

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.common import SLICE_BYTES, arrow_map, documents, parts_for, range_bounds, range_of, raw, saved, slices
+from tonewright.llm.simhash import PARITY_WORDS, _linked as linked_groups
 from tonewright.llm.substring_index import rolled
 
 SLOTS = 128
@@ -378,9 +380,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, likeness, edit_similarity) between representatives of equal texts.
 
-    A representative is the least doc_id of its text. In each bucket all members are held
-    against the least one, so pairs grow with members, never with their square; a link between
-    two others of a bucket is found if they meet in a bucket where one of them is least.
+    A representative is the least doc_id of its text; texts of one doc_id are told apart. In each
+    bucket pivots are held against all members, and members that no verified link ties to the
+    bucket's largest component against further pivots, round by round, until every two have met
+    or are tied: no link between different texts is lost to what else is in its bucket, and a
+    group of near copies gives as many pairs as it has members, not their square.
     ``edit_similarity`` is 1 - distance / longer length, and at least ``least``.
 
     Buckets are anchors. Edits that are spread evenly on purpose can leave only shorter runs than
@@ -389,10 +393,17 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     if not 0 < least < 1:
         raise ValueError("least is between 0 and 1")
     texts = saved(_whole_texts(docs), "texts")
-    keyed = saved(_anchored(texts, least), "anchors")
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    return _named(_verified(pairs, texts, least), texts)
+    keyed = saved(_anchored(texts, least), "anchors").select("node", F.lit(0).cast("long").alias("grp"), "key")
+    # lengths rule pairs out; there are no parities
+    sets = texts.select("node", F.char_length("text").alias("size"), F.array_repeat(F.lit(0).cast("long"), PARITY_WORDS).alias("parity"))
+    sure: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sure.append(saved(_verified(pairs, texts, least), "links"))
+        return sure[-1].select("a", "b")
+
+    linked_groups(keyed, keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), sets, least, verified)
+    return _named(reduce(DataFrame.union, sure).distinct(), texts)
 
 
 def _named(sure: DataFrame, texts: DataFrame) -> DataFrame:
