@@ -383,6 +383,51 @@ ORACLES["char_lookup"] = f"""
 WITH r(cp, readings) AS ({_values((ord(c), ",".join(v.split())) for c, v in seed.MANDARIN.items())})
 SELECT id, CAST(unicode(right(name, 1)) AS INTEGER) AS cp, readings FROM ({names_sql(MIXED, 4)}) LEFT JOIN r ON r.cp = unicode(right(name, 1))"""
 
+# ---- the same over every line of lineitem: all its line numbers are sources
+
+
+def _all_lines(spark: SparkSession, sf_dir: str, sources: int = 7) -> DataFrame:
+    """Readings of ``sources`` sources that every line of lineitem is dealt to."""
+    sounds = F.array(*[F.lit(s) for s in _SOUNDS])
+    n = F.get(sounds, ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % len(_SOUNDS)).cast("int"))
+    so = ((F.col("l_linenumber") - 1) % sources + 1).cast("int")
+    return _table(spark, sf_dir, "lineitem").select(
+        F.lit("mandarin").alias("system"), (F.lit(0x4E00) + F.col("l_partkey") % 997).cast("int").alias("cp"), F.col("l_orderkey").cast("int").alias("ord"),
+        n.alias("display"), n.alias("normalized"), F.regexp_replace(n, "[0-9]$", "").alias("syllable"), F.substring(n, -1, 1).cast("int").alias("tone"),
+        F.col("l_quantity").cast("long").alias("freq"), F.array(F.concat(F.lit("s"), so.cast("string"))).alias("sources"), so.alias("source_ord"),
+    )
+
+
+def _all_lines_sql(sources: int = 7) -> str:
+    return f"""
+SELECT CAST(19968 + l_partkey % 997 AS INTEGER) AS cp, CAST(l_orderkey AS INTEGER) AS o, (l_linenumber - 1) % {sources} + 1 AS so, CAST(l_quantity AS BIGINT) AS freq,
+  (ARRAY[{", ".join(f"'{s}'" for s in _SOUNDS)}])[CAST((l_partkey * 7 + l_linenumber) % {len(_SOUNDS)} AS INTEGER) + 1] AS n FROM lineitem"""
+
+
+QUERIES["upsert_readings_all_lines"] = lambda spark, sf: etl.upsert(_all_lines(spark, sf)).select("cp", "ord", "normalized", "syllable", "tone", "freq", F.array_join("sources", ",").alias("sources"))
+ORACLES["upsert_readings_all_lines"] = ORACLES["upsert_readings"].replace(_DERIVED_SQL, _all_lines_sql())
+
+
+def _checked_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of odd numbers against those of even ones."""
+    d = _all_lines(spark, sf_dir, 2)
+    a, b = (etl.reading_sets(d.where(F.col("source_ord") == k), "mandarin") for k in (1, 2))
+    return etl.cross_check(a, b)[0]
+
+
+QUERIES["cross_check_all_lines"] = _checked_all_lines
+ORACLES["cross_check_all_lines"] = ORACLES["cross_check"].replace(_DERIVED_SQL, _all_lines_sql(2))
+
+
+def _capped_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _all_lines(spark, sf_dir).select("syllable", "cp").distinct()
+    got = d.join(etl.inverted_index(d, "cp", "syllable"), "syllable").withColumn("c", etl.capped(F.col("keys"), F.col("cp")))
+    return got.select("syllable", "cp", F.array_join("c.expected", ",").alias("expected"), F.col("c.total").alias("total"))
+
+
+QUERIES["inverted_index_cap_all_lines"] = _capped_all_lines
+ORACLES["inverted_index_cap_all_lines"] = ORACLES["inverted_index_cap"].replace(_DERIVED_SQL, _all_lines_sql())
+
 # ---- match cases: ids are hashes that SQL has no function for
 
 
