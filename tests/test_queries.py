@@ -30,3 +30,13 @@ def test_all_lines(spark, tmp_path):
         assert fx.found(q.QUERIES[name](spark, sf)) == twin(con, name), name
     seen = {s for r in q.QUERIES["upsert_readings_all_lines"](spark, sf).collect() for s in r.sources.split(",")}
     assert seen == {f"s{k}" for k in range(1, 8)}
+
+
+def test_whole_keys(spark, tmp_path):
+    sf, con = tables(spark, tmp_path)
+    for name in ("word_reproducible_whole_keys", "char_lookup_whole_keys"):
+        assert fx.found(q.QUERIES[name](spark, sf)) == twin(con, name), name
+    for width in (4, 6):
+        found = q.whole_names(spark, sf, width=width).collect()
+        assert len({r.name for r in found}) == len(found) == 11
+        assert all(int(r.name.translate(str.maketrans(q.HAN, q.DIGITS))) == r.id and len(r.name) >= width for r in found)

@@ -49,6 +49,18 @@ def names_sql(alphabet: str = HAN, width: int = WIDTH, table: str = "part", key:
     return f"SELECT {key} AS id, translate(lpad(CAST({key} AS VARCHAR), {width}, '0'), '{DIGITS}', '{alphabet}') AS name FROM {table}"
 
 
+def whole_names(spark: SparkSession, sf_dir: str, alphabet: str = HAN, width: int = WIDTH) -> DataFrame:
+    """(id, name) of part: keys in at least ``width`` characters; no digit of a longer one is cut off."""
+    k = F.col("p_partkey").cast("string")
+    padded = F.when(F.length(k) < width, F.lpad(k, width, "0")).otherwise(k)
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.translate(padded, DIGITS, alphabet).alias("name"))
+
+
+def whole_names_sql(alphabet: str = HAN, width: int = WIDTH) -> str:
+    k = "CAST(p_partkey AS VARCHAR)"
+    return f"SELECT p_partkey AS id, translate(lpad({k}, CAST(greatest({width}, length({k})) AS INTEGER), '0'), '{DIGITS}', '{alphabet}') AS name FROM part"
+
+
 def _engine(spark: SparkSession) -> Engine:
     return Engine(spark, seed.readings(spark))
 
@@ -343,22 +355,30 @@ WITH d AS (SELECT DISTINCT regexp_replace(n, '[0-9]$', '') AS syllable, cp FROM
 SELECT syllable, cp, array_to_string(([cp] || list_filter(keys, lambda k: k <> cp))[1:24], ',') AS expected, CAST(len(keys) AS INTEGER) AS total FROM d JOIN i USING (syllable)"""
 
 
-def _derived_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _derived_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Names as words, with the sounds that some of their digits really have."""
-    n = names(spark, sf_dir, HAN, 4)
+    n = (whole_names if whole else names)(spark, sf_dir, HAN, 4)
     sound = lambda c, i: F.when((F.col("id") + i) % 5 == 0, "xia4").otherwise(F.try_element_at(F.create_map(*[F.lit(x) for c in HAN for x in (c, seed.MANDARIN[c].split()[0])]), c))
     said = F.transform(tx.chars(F.col("name")), sound)
     reading = F.transform(said, lambda r: F.struct(r.alias("normalized"), F.regexp_replace(r, "[0-9]$", "").alias("syllable")))
     return n.select("id", F.lit("mandarin").alias("system"), tx.to_codepoints(F.col("name")).alias("cps"), F.col("name").alias("text"), reading.alias("readings"), F.lit("names").alias("source"))
 
 
-QUERIES["word_reproducible"] = lambda spark, sf: etl.reproducible(_derived_words(spark, sf), seed.readings(spark)).select("id", "text", F.array_join(F.transform("readings", lambda r: r["syllable"]), "").alias("spoken"))
+def _reproducible(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    got = etl.reproducible(_derived_words(spark, sf_dir, whole), seed.readings(spark))
+    return got.select("id", "text", F.array_join(F.transform("readings", lambda r: r["syllable"]), "").alias("spoken"))
+
+
+QUERIES["word_reproducible"] = _reproducible
+QUERIES["word_reproducible_whole_keys"] = lambda spark, sf: _reproducible(spark, sf, True)
 ORACLES["word_reproducible"] = f"""
 WITH h(ch, first) AS ({_values((c, _bare(seed.MANDARIN[c].split()[0])) for c in HAN)}), r(ch, syl) AS ({_values(sorted({(c, _bare(x)) for c in HAN for x in seed.MANDARIN[c].split()}))}),
 p AS (SELECT id, name, unnest(string_split(name, '')) AS ch, generate_subscripts(string_split(name, ''), 1) - 1 AS i FROM ({names_sql(HAN, 4)})),
 s AS (SELECT id, name, i, ch, CASE WHEN (id + i) % 5 = 0 THEN 'xia' ELSE first END AS syl FROM p JOIN h USING (ch))
 SELECT id, name AS text, string_agg(s.syl, '' ORDER BY i) AS spoken FROM s LEFT JOIN r ON r.ch = s.ch AND r.syl = s.syl GROUP BY id, name HAVING bool_and(r.syl IS NOT NULL)"""
 
+ORACLES["word_reproducible_whole_keys"] = ORACLES["word_reproducible"].replace(names_sql(HAN, 4), whole_names_sql(HAN, 4))
+
 QUERIES["negatives_anti"] = lambda spark, sf: _table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.translate(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 2), DIGITS, "ghijklmnop").alias("input")).join(cases.prefix_universe(seed.readings(spark), "mandarin"), "input", "left_anti").select("id", "input")
 ORACLES["negatives_anti"] = f"""
 WITH f(s) AS ({_values(sorted({(f,) for v in seed.MANDARIN.values() for r in v.split() for f in (r, _bare(r))}))}), u AS (SELECT DISTINCT left(s, n) AS input FROM f, range(1, 8) AS t(n))
@@ -383,6 +403,16 @@ ORACLES["char_lookup"] = f"""
 WITH r(cp, readings) AS ({_values((ord(c), ",".join(v.split())) for c, v in seed.MANDARIN.items())})
 SELECT id, CAST(unicode(right(name, 1)) AS INTEGER) AS cp, readings FROM ({names_sql(MIXED, 4)}) LEFT JOIN r ON r.cp = unicode(right(name, 1))"""
 
+
+
+def _lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cps = whole_names(spark, sf_dir, MIXED, 4).select("id", F.ascii(F.substring("name", -1, 1)).alias("cp"))
+    return _engine(spark).char_entry(cps, en.MANDARIN).select("id", "cp", F.array_join(F.transform("readings", lambda r: r["normalized"]), ",").alias("readings"))
+
+
+QUERIES["char_lookup_whole_keys"] = _lookup_whole
+ORACLES["char_lookup_whole_keys"] = ORACLES["char_lookup"].replace(names_sql(MIXED, 4), whole_names_sql(MIXED, 4))
+
 # ---- the same over every line of lineitem: all its line numbers are sources
 
 
@@ -432,7 +462,7 @@ ORACLES["inverted_index_cap_all_lines"] = ORACLES["inverted_index_cap"].replace(
 
 
 def _cases(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: make(_derived_words(spark, sf).drop("id"), seed.readings(spark))
+    return lambda spark, sf: make(_derived_words(spark, sf, True).drop("id"), seed.readings(spark))
 
 
 for _s in _COUNTS:
