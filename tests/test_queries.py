@@ -3,6 +3,8 @@
 import duckdb
 
 from tonewright import queries as q
+from tonewright.functions import fuzzy
+from tonewright.operators import cases
 
 from llm import fixtures as fx
 
@@ -40,3 +42,17 @@ def test_whole_keys(spark, tmp_path):
         found = q.whole_names(spark, sf, width=width).collect()
         assert len({r.name for r in found}) == len(found) == 11
         assert all(int(r.name.translate(str.maketrans(q.HAN, q.DIGITS))) == r.id and len(r.name) >= width for r in found)
+
+
+def test_cases_of_every_system(spark, tmp_path):
+    sf, _ = tables(spark, tmp_path)
+    for s, name in (("mandarin", "cases_negative"), *((s, f"cases_negative_{s}") for s in ("cantonese", "zhuyin", "japanese", "korean"))):
+        drawn = cases.drawn_inputs(spark, s, 20_000, 20260711).distinct()
+        wanted = drawn.join(cases.prefix_universe(q.seed.readings(spark), s), "input", "left_anti").count()
+        assert q.QUERIES[name](spark, sf).count() == wanted > 0, name
+    for s in ("japanese", "korean"):
+        assert q.QUERIES[f"cases_word_{s}"](spark, sf).count() == 11
+    for s in ("mandarin", "cantonese", "zhuyin", "japanese"):
+        for rule in fuzzy.rules_for(s):
+            assert (s, rule) == ("mandarin", "FUZZY_ZH_Z") or f"cases_{rule.lower()}_{s}" in q.QUERIES
+    assert q.QUERIES["cases_fuzzy_n_l_cantonese"](spark, sf).count() > 0
