@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonewright.llm import substring_index as si
 from tonewright.llm.common import documents
@@ -104,3 +106,22 @@ def test_index_lives_on(spark, tmp_path):
     assert len(si.FingerprintIndex(spark, path).runs) < 4  # compacted on the way
     hit = {r.doc_id for r in lost}
     assert hit == {d for (d, _), (_, mark) in zip(rows, brute(rows), strict=True) if any(mark)}
+
+
+def test_new_documents_against_a_filled_index(spark, tmp_path):
+    """Windows that stand only in an indexed document count, in every batch; no text may be missing."""
+    rows = sorted((r for r in shared(5) if r[0] is not None), key=lambda r: r[0])
+    docs = documents(fx.table(spark, rows)).cache()
+    old, new = docs.where("doc_id < 400"), docs.where("doc_id >= 400")
+    index = si.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    si.lost_windows(old, 2, index)
+    runs = list(index.runs)
+    for refused in (lambda: index.append(new), lambda: si.lost_windows(new, 2, index), lambda: index.append(new, old.where("doc_id < 300"))):
+        with pytest.raises(ValueError, match="indexed documents"):
+            refused()
+        assert index.runs == runs
+    lost = si.lost_windows(new, 3, index, old).groupBy("doc_id").agg(F.collect_list("w1").alias("w1")).collect()
+    gone = {r.doc_id: np.array(r.w1, np.int64) for r in lost}
+    none = np.zeros(0, np.int64)
+    wanted = [(d, mark) for (d, _), (_, mark) in zip(rows, brute(rows), strict=True) if d >= 400]
+    assert fx.by_row((d, si.covered(t.encode(), gone.get(d, none)).tolist()) for d, t in rows if d >= 400) == fx.by_row(wanted)

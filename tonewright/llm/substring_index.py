@@ -11,6 +11,9 @@ each sorted by hash. A new batch
    compared by 96 bits of the window's words, and the first document of each window found;
 3. gives for each of its documents the windows that an earlier document has.
 
+Runs hold no texts. So a batch that meets a filled index comes with the indexed texts; if they are
+missing, or one of a document that shares a hash with the batch is, that is an error.
+
 When ``fanout`` runs of a level have come together they are merged into one of the next level.
 Earlier means: in the index already, or in the batch with a smaller doc_id.
 
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,7 @@ FANOUT = 2
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_MISSING = "indexed documents that share hashes with the batch are missing from the corpus"
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -104,6 +109,8 @@ def _windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.column("text").null_count:
+                raise ValueError(_MISSING)
             for part in slices(batch):
                 w1s, w2s, sizes = [], [], []
                 col = part.column("hashes")
@@ -148,9 +155,12 @@ class FingerprintIndex:
     def append(self, batch: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         """Deduplicate (doc_id, text) against the index, and add it.
 
-        ``corpus`` holds the texts of indexed documents (others do no harm). Returns (doc_id,
-        w1): hashes of the windows that each document of the batch has to lose.
+        ``corpus`` holds the texts of indexed documents (others do no harm); an index with runs
+        needs it. Returns (doc_id, w1): hashes of the windows that each document of the batch
+        has to lose. Nothing is added to the index if a text is missing.
         """
+        if self.runs and corpus is None:
+            raise ValueError("the index has runs: the texts of indexed documents are needed to verify what they share with the batch")
         spark = self.spark
         batch = batch.where("doc_id IS NOT NULL")
         old = self.postings()
@@ -165,10 +175,18 @@ class FingerprintIndex:
         held = spark.read.schema("hash long, doc_id long, shared boolean, new boolean").parquet(folder)
 
         wanted = held.where("shared").groupBy("doc_id", "new").agg(F.collect_list("hash").alias("hashes"))
-        texts = batch.select("doc_id", "text", F.lit(True).alias("new"))
-        if corpus is not None and old is not None:
-            texts = texts.union(corpus.select("doc_id", "text", F.lit(False).alias("new")))
-        windows = saved(_windows(texts.join(wanted, ["doc_id", "new"])), "windows")
+        given = lambda df, new: df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(new).alias("new"))
+        texts = given(batch, True)
+        if old is not None:
+            texts = texts.union(given(corpus, False))
+        # a null text after this join is one that the corpus doesn't have
+        try:
+            windows = saved(_windows(texts.join(wanted, ["doc_id", "new"], "right")), "windows")
+        except PythonException as e:
+            remove(spark, folder)
+            if _MISSING in str(e):
+                raise ValueError(_MISSING) from e
+            raise
         release(spark)
         # plain numbers, so that the aggregation hashes; a struct's minimum would have to sort
         firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.bool_and("new").alias("fresh"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -196,10 +214,14 @@ class FingerprintIndex:
             self._commit([*[r for r in self.runs if r[0] != full], (full + 1, folder)])
 
 
-def lost_windows(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
-    """(doc_id, w1) for the whole table, taken in ``batches`` of ascending doc_id."""
+def lost_windows(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, w1) for the whole table, taken in ``batches`` of ascending doc_id.
+
+    ``corpus`` holds the texts of what ``index`` has already, if it has anything."""
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
+    if index.runs and corpus is None:
+        raise ValueError("the index has runs: the texts of indexed documents are needed")
     bounds = range_bounds(docs.select("doc_id"), "doc_id", batches)
     parts = []
     for k in range(len(bounds) + 1):
@@ -208,7 +230,10 @@ def lost_windows(docs: DataFrame, batches: int = BATCHES, index: FingerprintInde
             inside = F.col("doc_id") >= bounds[k - 1]
         if k < len(bounds):
             inside = inside & (F.col("doc_id") < bounds[k])
-        before = docs.where(F.col("doc_id") < bounds[k - 1]) if k else None
+        before = docs.where(F.col("doc_id") < bounds[k - 1]).select("doc_id", "text") if k else None
+        if corpus is not None:
+            known = corpus.select("doc_id", "text")
+            before = known if before is None else known.union(before)
         parts.append(index.append(docs.where(inside), before))
     out = parts[0]
     for p in parts[1:]:
