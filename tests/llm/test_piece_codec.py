@@ -64,7 +64,7 @@ def test_memory_turns_over(lib):
 
 def test_disagreement_goes_to_the_library(lib):
     own = pc.PieceCodec(PATH)
-    own.agenda = lambda text: [5]  # a codec that is wrong about everything
+    own.agendas = lambda runs: [[5] for _ in runs]  # a codec that is wrong about everything
     got = own.digest([b"some words here", b""])
     assert got[0][0] == len(lib.encode("some words here")) and got[0][3] is True
     assert got[1] == (0, sha(""), sha(""), False)
