@@ -20,7 +20,6 @@ from . import fixtures as fx
 
 def library(name):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -37,7 +36,33 @@ def test_encoder_on_awkward_texts(pair):
     own, lib = pair
     for _, t in fx.awkward():
         assert own.encode((t or "").encode()) == packed(lib(t))
-    assert own.trusted
+
+
+def test_special_strings(pair):
+    """An untouched library takes them as its added tokens, wherever they stand."""
+    own, lib = pair
+    for t in ("a <|endoftext|> b", "x<|startoftext|>y", "<|endoftext|>", "a  <|endoftext|>  b\n", "<|ENDOFTEXT|> <|endoftext"):
+        assert own.encode(t.encode()) == packed(lib(t))
+    assert own.encode_all([b"a b", b"c <|endoftext|> d", b""]) == [packed(lib(t)) for t in ("a b", "c <|endoftext|> d", "")]
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_special_strings_as_text(name):
+    t = Tokenizer.from_file(vocabulary(name))
+    t.encode_special_tokens = True
+    own = ChunkEncoder(vocabulary(name), special_as_text=True)
+    for text in ("a <|endoftext|> b", "x<|startoftext|>y"):
+        assert own.encode(text.encode()) == packed(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_a_lost_mark_changes_nothing(pair):
+    """Chunks whose joined ids don't give every mark back go to the library one by one."""
+    own, lib = pair
+    texts = [b"some words", "e\u0301 \x01 n\x01o".encode(), b"\x01", "\u0301x".encode(), b"\n \n"]
+    assert own.encode_all(texts) == [packed(lib(t.decode())) for t in texts]
+    broken = ChunkEncoder.__new__(ChunkEncoder)
+    broken.__dict__.update(own.__dict__ | {"mark_id": -1, "fresh": {}, "older": {}})
+    assert broken.encode_all(texts) == [packed(lib(t.decode())) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)

@@ -112,8 +112,8 @@ def pack_documents(
 
         for batch in batches:
             for part in slices(batch):
-                for doc, text in zip(part.column("doc_id").to_pylist(), raw(part), strict=True):
-                    ids = own.encode(text) + end
+                for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode_all(raw(part)), strict=True):
+                    ids += end
                     total = len(ids) // 4
                     whole = total - total % capacity
                     for start in range(0, whole, capacity):

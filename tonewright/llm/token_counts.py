@@ -30,7 +30,7 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None, end_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            n = Counter(len(own.encode(t)) // 4 + end_tokens for part in slices(batch) for t in raw(part))
+            n = Counter(len(ids) // 4 + end_tokens for part in slices(batch) for ids in own.encode_all(raw(part)))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["n_tokens", "documents"])
 
     return arrow_map(docs, run, "n_tokens long, documents long").groupBy("n_tokens").agg(F.sum("documents").alias("documents"))

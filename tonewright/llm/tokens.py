@@ -1,132 +1,98 @@
 """Token ids of byte-level BPE vocabularies, chunk by chunk with a memory.
 
 The pre-tokenizers of these vocabularies never join text across white space (a space at most
-opens the next token), so a text is cut into chunks there, each chunk is encoded once in a
-Python worker and its ids are remembered as little-endian unsigned 32-bit bytes. A text where
-white space meets white space is cut by the pattern itself.
-
-A new chunk of plain Latin characters is merged by tiktoken's core with the ranks of the very
-vocabulary file; one in ``CHECK_EVERY`` of these, and every other chunk, goes through the
-tokenizers library. If that ever disagrees, the library encodes all chunks from then on and
-all remembered ids are dropped.
-Special tokens' strings in a text are ordinary text.
+opens the next token), so a text is cut into chunks there, and a chunk's ids are remembered as
+little-endian unsigned 32-bit bytes. A text where white space meets white space is cut by the
+pattern itself.
+
+The tokenizers library encodes every chunk, once in the memory's life: all new chunks of a slice
+of texts are joined, with a mark of a known id before each, and its ids are cut at that mark's. If
+the marks don't come out in the number they went in, the library takes the chunks one by one. So
+ids depend on no earlier text.
+
+The string of an added token inside a text is that token, as the library has it by default; the
+library takes such a text whole. With ``special_as_text`` these strings are ordinary text.
+
+The empty text has no ids. A very long text is cut like any other: beside the text its chunks and
+ids are held once.
 """
 
 from __future__ import annotations
 
-import json
+import os
 import re
+from itertools import chain
+
+import numpy as np
 
 from tonewright.llm.common import tokenizer_path
 
 #: Chunks in each of the two halves of a Python worker's memory.
 CACHE_CHUNKS = 600_000
-CHECK_EVERY = 64
+#: Chunks that are joined to one text for the library.
+JOINED = 500
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Where one of these stands, white space may meet white space.
 _MEETING = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
 _ODD = re.compile(rb"\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80")
-_PLAIN = re.compile(rb"(?:[\x20-\x7e\n]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])*")
 
 
 class ChunkEncoder:
     """Ids of whole texts under one tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.by_word = spec["model"].get("end_of_word_suffix") == "</w>"
+        self.library.encode_special_tokens = special_as_text
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [] if special_as_text else [t.content.encode() for t in added]
+        # white space that is dropped can't mark chunks off; a control character stands by itself
+        self.by_word = not self._ask("\n")
+        self.mark = " \x01 " if self.by_word else "\n"
+        (self.mark_id,) = self._ask(self.mark)
         self.fresh: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.trusted = self._core(spec)
-        self.learnt = 0
-
-    def _core(self, spec: dict) -> bool:
-        """Merge ranks for tiktoken's core; false if the file isn't of a known form."""
-        import regex
-        import tiktoken
-
-        model, pre = spec["model"], spec["pre_tokenizer"]
-        if model["type"] != "BPE" or model.get("ignore_merges") or model.get("byte_fallback"):
-            return False
-        vocab: dict[str, int] = model["vocab"]
-        special = {t["content"] for t in spec["added_tokens"]}
-        char = _byte_chars()
-        if self.by_word:
-            # a byte that UTF-8 never uses marks the word's end; it joins the last byte first
-            steps = pre.get("pretokenizers", [{}])
-            if [n["type"] for n in spec["normalizer"].get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or steps[0].get("type") != "Split":
-                return False
-            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            ranks: dict[bytes, int] = {}
-            self.packed: dict[int, bytes] = {}
-            self.words: dict[bytes, bytes] = {}
-            for token, i in vocab.items():
-                if token in special:
-                    continue
-                end = token.endswith("</w>") and len(token) > 4
-                body = bytes(char[c] for c in (token[:-4] if end else token))
-                key = body + b"\xff" * end
-                rank = i + 1000 if len(body) > 1 else i
-                ranks[key] = rank
-                self.packed[rank] = i.to_bytes(4, "little")
-            if len(ranks) != len(vocab.keys() - special) or b"\xff" not in ranks:
-                return False
-            self.core = tiktoken.Encoding("w", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-            return True
-        if spec["normalizer"] is not None or pre != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-            return False
-        ranks = {bytes(char[c] for c in t): i for t, i in vocab.items() if t not in special}
-        import public_tokenizers
-
-        self.encoding = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return True
-
-    def _merge(self, chunk: bytes) -> bytes:
-        """Packed ids of a chunk of plain Latin characters."""
-        if not self.by_word:
-            return _packed(self.encoding.encode_ordinary(chunk.decode()))
-        low = chunk.lower() if chunk.isascii() else chunk.decode().lower().encode()
-        words = [low] if low.isalpha() else [m.encode() for m in self.pattern.findall(low.decode())]
-        out = []
-        for w in words:
-            if (got := self.words.get(w)) is None:
-                if len(self.words) >= CACHE_CHUNKS // 2:
-                    self.words.clear()
-                packed = self.packed
-                got = self.words[w] = b"".join([packed[r] for r in self.core.encode_single_piece(w + b"\xff")])
-            out.append(got)
-        return b"".join(out)
-
-    def _ask(self, chunk: bytes) -> bytes:
-        return _packed(self.library.encode(chunk.decode(), add_special_tokens=False).ids)
-
-    def _learn(self, chunks: list[bytes]) -> None:
+
+    def _ask(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks that hold neither the mark nor anything but it that is dropped."""
+        parts = [self.mark + self.mark.join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
+        got = self.library.encode_batch_fast(parts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable([g.ids for g in got]), np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        if len(marks) != len(chunks):
+            return [_packed(g.ids) for g in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        data = ids.astype("<u4").tobytes()
+        ends = [*(4 * marks[1:]).tolist(), len(data)]
+        return [data[a:b] for a, b in zip((4 * marks + 4).tolist(), ends, strict=True)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Put these chunks into the memory."""
         if len(self.fresh) + len(chunks) > CACHE_CHUNKS:
             self.older, self.fresh = self.fresh, {}
+        fresh, older = self.fresh, self.older
+        plain, plain_texts, other = [], [], []
         for c in chunks:
-            if c in self.fresh:
-                continue
-            if c in self.older:
-                self.fresh[c] = self.older[c]
-                continue
-            if self.trusted and _PLAIN.fullmatch(c):
-                ids = self._merge(c)
-                self.learnt += 1
-                if self.learnt % CHECK_EVERY == 0 and ids != self._ask(c):
-                    self.trusted = False
-                    self.fresh, self.older = {}, {}
-                    return self._learn(chunks)
-            else:
-                ids = self._ask(c)
-            self.fresh[c] = ids
-        return None
+            if c in older:
+                fresh[c] = older[c]
+            elif c not in fresh:
+                text = c.decode()
+                if text.isspace() or "\x01" in text:
+                    other.append(c)
+                else:
+                    plain.append(c)
+                    plain_texts.append(text)
+        if plain:
+            fresh.update(zip(plain, self._together(plain_texts), strict=True))
+        if other:
+            got = self.library.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)
+            fresh.update((c, _packed(g.ids)) for c, g in zip(other, got, strict=True))
 
     def chunks(self, text: bytes) -> list[bytes]:
         if self.by_word:
@@ -135,25 +101,23 @@ class ChunkEncoder:
             return [c.encode() for c in _CHUNKS.findall(text.decode())]
         return [c for c in text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if c]
 
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, four bytes each."""
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        cut = [[] if k in whole else self.chunks(t) for k, t in enumerate(texts)]
+        self._learn(set(chain.from_iterable(cut)))
+        fresh = self.fresh
+        out = [b"".join([fresh[c] for c in chunks]) for chunks in cut]
+        for k in whole:
+            out[k] = _packed(self._ask(texts[k].decode()))
+        return out
+
     def encode(self, text: bytes) -> bytes:
-        """Ids of one text, four bytes each."""
-        cut = self.chunks(text)
-        try:
-            return b"".join([self.fresh[c] for c in cut])
-        except KeyError:
-            self._learn(cut)
-            return b"".join([self.fresh[c] for c in cut])
+        return self.encode_all([text])[0]
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
-
-
-def _byte_chars() -> dict[str, int]:
-    """Printable stand-ins of bytes in byte-level vocabularies."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in keep]
-    return {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(rest)}
+    return np.array(ids, "<u4").tobytes()
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -203,8 +203,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
 
         for batch in batches:
             for piece in slices(batch):
-                for r, doc, text in zip(piece.column("range").to_pylist(), piece.column("doc_id").to_pylist(), raw(piece), strict=True):
-                    ids = own.encode(text) + end
+                encoded = own.encode_all(raw(piece))
+                for r, doc, ids in zip(piece.column("range").to_pylist(), piece.column("doc_id").to_pylist(), encoded, strict=True):
+                    ids += end
                     n = len(ids) // 4
                     if r != at or total and total + n > shard_tokens:
                         yield from close()
