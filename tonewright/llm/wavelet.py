@@ -6,15 +6,17 @@ stable partition by the plane before (zeros, then ones). A plane carries running
 at every ``SUPER`` bits, so access, rank and select of any symbol cost a few steps per plane.
 
 File layout, little-endian: ``WVM1``, u32 length of the JSON header, the header (number of
-documents and tokens, planes, zeros of each plane, and name -> (offset, bytes) of sections),
-then the sections, each compressed with zstd on its own: ``doc_ids`` (i64, null as the least
-value), ``lengths`` (u32), ``plane<k>`` (bits, high bit first), ``ones<k>`` (u32).
+documents and tokens, planes, zeros of each plane, and name -> offsets of a section's blocks and
+its end), then the sections, cut into blocks of ``BLOCK_BYTES`` that are compressed with zstd each
+on its own: ``doc_ids`` (i64, null as the least value), ``lengths`` (u32), ``plane<k>`` (bits, high
+bit first), ``ones<k>`` (u32). So one step of a query inflates a block of a plane, not the plane.
 
 Shards are binary values of a Parquet table written by Spark's committer, so a lost executor
 leaves no half file and any Hadoop file system can hold them; a value is a complete file.
 
 Null and empty texts have the end id alone. Rows of one doc_id follow each other in text order,
-repeated rows are stored each. An empty table has no shards.
+repeated rows are stored each. An empty table has no shards. A very long text fills a shard of its
+own; building one takes about six bytes a token beside the ids. Other columns aren't stored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ MAGIC = b"WVM1"
 SUPER = 512
 #: Tokens at which a shard is closed; a longer document has a shard for itself.
 SHARD_TOKENS = 2_000_000
+#: Bytes of a section that are compressed together.
+BLOCK_BYTES = 65_536
 NO_ID = -(2**63)
 
 
@@ -52,24 +57,37 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     }
     zeros = []
     for k in range(planes):
-        one = (rest >> rest.dtype.type(planes - 1 - k) & rest.dtype.type(1)).astype(bool)
-        zeros.append(int(len(one) - np.count_nonzero(one)))
-        sections[f"plane{k}"] = np.packbits(one).tobytes()
-        per = np.add.reduceat(one, np.arange(0, len(one), SUPER), dtype=np.uint32) if len(one) else np.zeros(0, np.uint32)
-        sections[f"ones{k}"] = np.concatenate([np.zeros(1, "<u4"), np.cumsum(per, dtype=np.uint32)]).astype("<u4").tobytes()
-        rest = np.concatenate([rest[~one], rest[one]])
+        one = (rest & rest.dtype.type(1 << (planes - 1 - k))) != 0
+        plane = np.packbits(one)
+        sections[f"plane{k}"] = plane.tobytes()
+        ones = _ones_before(plane)
+        zeros.append(int(len(rest) - ones[-1]))
+        sections[f"ones{k}"] = ones.astype("<u4").tobytes()
+        if k + 1 < planes:
+            rest = rest.take(np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)]))
     at, where, body = 0, {}, []
     for name, data in sections.items():
-        data = squeeze(data)
-        where[name] = (at, len(data))
-        body.append(data)
-        at += len(data)
+        where[name] = [at]
+        for start in range(0, len(data), BLOCK_BYTES):
+            block = squeeze(data[start : start + BLOCK_BYTES])
+            body.append(block)
+            at += len(block)
+            where[name].append(at)
     head = json.dumps({"documents": len(doc_ids), "tokens": len(ids), "planes": planes, "zeros": zeros, "sections": where}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
 
 
+def _ones_before(plane: np.ndarray) -> np.ndarray:
+    """Ones in the plane before every ``SUPER`` bits, and in all."""
+    words = np.zeros(-(-len(plane) // (SUPER // 8)) * (SUPER // 64), np.uint64)
+    words.view(np.uint8)[: len(plane)] = plane
+    per = np.bitwise_count(words).reshape(-1, SUPER // 64).sum(axis=1, dtype=np.uint32)
+    return np.concatenate([np.zeros(1, np.uint32), np.cumsum(per, dtype=np.uint32)])
+
+
 class Shard:
-    """Reader of one file; sections are inflated when first asked for."""
+    """Reader of one file; blocks of sections are inflated when asked for, and a bounded number of
+    them is remembered."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -78,16 +96,30 @@ class Shard:
         self.head = json.loads(data[8 : 8 + n])
         self._data, self._base = memoryview(data), 8 + n
         self.n, self.planes, self.zeros = self.head["tokens"], self.head["planes"], self.head["zeros"]
-        self._open: dict[str, np.ndarray] = {}
+        self._block = lru_cache(maxsize=256)(self._inflate)
 
-    def _section(self, name: str, kind: str) -> np.ndarray:
-        if name not in self._open:
-            import zstandard
+    def _inflate(self, name: str, block: int) -> bytes:
+        import zstandard
 
-            at, size = self.head["sections"][name]
-            part = self._data[self._base + at : self._base + at + size]
-            self._open[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(part)), kind)
-        return self._open[name]
+        at, end = self.head["sections"][name][block : block + 2]
+        return zstandard.ZstdDecompressor().decompress(bytes(self._data[self._base + at : self._base + end]))
+
+    def _section(self, name: str, kind: str) -> np.ndarray:
+        """A whole section."""
+        blocks = len(self.head["sections"][name]) - 1
+        return np.frombuffer(b"".join([self._inflate(name, k) for k in range(blocks)]), kind)
+
+    def _bytes(self, name: str, lo: int, hi: int) -> bytes:
+        """Bytes lo to hi of a section."""
+        if hi <= lo:
+            return b""
+        first, last = lo // BLOCK_BYTES, (hi - 1) // BLOCK_BYTES
+        got = b"".join([self._block(name, k) for k in range(first, min(last + 1, len(self.head["sections"][name]) - 1))])
+        return got[lo - first * BLOCK_BYTES : hi - first * BLOCK_BYTES]
+
+    def _before(self, k: int, block: int) -> int:
+        """Ones of plane k before a block of ``SUPER`` bits."""
+        return int.from_bytes(self._bytes(f"ones{k}", 4 * block, 4 * block + 4), "little")
 
     @property
     def doc_ids(self) -> list[int | None]:
@@ -98,14 +130,16 @@ class Shard:
         return self._section("lengths", "<u4")
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self._section(f"plane{k}", "u1")[i >> 3]) >> (7 - (i & 7)) & 1
+        return self._bytes(f"plane{k}", i >> 3, (i >> 3) + 1)[0] >> (7 - (i & 7)) & 1
 
     def _ones(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        plane, block = self._section(f"plane{k}", "u1"), i // SUPER
-        at = block * SUPER // 8
-        n = int(self._section(f"ones{k}", "<u4")[block]) + int.from_bytes(plane[at : i >> 3].tobytes(), "big").bit_count()
-        return n + (int(plane[i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else n
+        block = i // SUPER
+        n = self._before(k, block)
+        if i % SUPER:
+            bits = self._bytes(f"plane{k}", block * SUPER // 8, (i + 7) >> 3)
+            n += (int.from_bytes(bits, "big") >> (-i & 7)).bit_count()
+        return n
 
     def access(self, i: int) -> int:
         """The i-th id."""
@@ -150,26 +184,38 @@ class Shard:
 
     def _find(self, k: int, bit: int, nth: int) -> int:
         """Place of the nth (from 0) bit of this kind in plane k."""
-        ones = self._section(f"ones{k}", "<u4").astype(np.int64)
-        before = ones if bit else np.minimum(np.arange(len(ones)) * SUPER, self.n) - ones
-        block = int(np.searchsorted(before, nth, side="right")) - 1
-        at = block * SUPER
-        plane = self._section(f"plane{k}", "u1")[at // 8 : (at + SUPER) // 8]
+        lo, hi = 0, -(-self.n // SUPER)  # the block is the last that has at most nth such bits before it
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            before = self._before(k, mid) if bit else min(mid * SUPER, self.n) - self._before(k, mid)
+            lo, hi = (mid, hi) if before <= nth else (lo, mid)
+        at = lo * SUPER
+        before = self._before(k, lo) if bit else at - self._before(k, lo)
+        plane = np.frombuffer(self._bytes(f"plane{k}", at // 8, (at + SUPER) // 8), np.uint8)
         bits = np.unpackbits(plane)[: self.n - at]
-        return at + int(np.flatnonzero(bits == bit)[nth - int(before[block])])
+        return at + int(np.flatnonzero(bits == bit)[nth - before])
 
     def occurrences(self, symbol: int) -> list[int]:
-        return [self.select(symbol, k) for k in range(self.rank(symbol, self.n))]
+        """Places of all occurrences, in one walk up the planes."""
+        if symbol < 0 or symbol >> self.planes:
+            return []
+        lo, n = self._walk(symbol, self.n)
+        at = np.arange(lo, lo + n)
+        for k in reversed(range(self.planes)) if n else ():
+            bit = symbol >> (self.planes - 1 - k) & 1
+            bits = np.unpackbits(self._section(f"plane{k}", "u1"), count=self.n)
+            at = np.flatnonzero(bits == bit)[at - self.zeros[k] if bit else at]
+        return at.tolist()
 
     def ids(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane up."""
         kind = np.uint16 if self.planes <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for k in reversed(range(self.planes)):
-            one = np.unpackbits(self._section(f"plane{k}", "u1"), count=self.n).astype(bool)
+            one = np.unpackbits(self._section(f"plane{k}", "u1"), count=self.n).view(np.bool_)
             up = np.empty(self.n, kind)
-            up[~one] = out[: self.zeros[k]]
-            up[one] = out[self.zeros[k] :] | kind(1 << (self.planes - 1 - k))
+            up[np.flatnonzero(~one)] = out[: self.zeros[k]]
+            up[np.flatnonzero(one)] = out[self.zeros[k] :] | kind(1 << (self.planes - 1 - k))
             out = up
         return out
 
@@ -240,8 +286,12 @@ def digest_shards(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["range", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     table = spark.read.parquet(path)
-    # a count for each shard: the only rows that pass through the one window
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select("range", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
+    # shards are summed inside their range; only totals of ranges, as many as partitions wrote
+    # them, pass through the one window
+    ranges = table.groupBy("range").agg(F.sum("tokens").alias("all"))
+    ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("base"))
+    so_far = F.sum("tokens").over(Window.partitionBy("range").orderBy("part"))
+    starts = table.select("range", "part", (so_far - F.col("tokens")).alias("in_range")).join(ranges, "range")
+    starts = starts.select("range", "part", (F.col("base") + F.col("in_range")).alias("first"))
     rows = table.select("range", "part", "shard").mapInArrow(run, "range int, part long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["range", "part"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
