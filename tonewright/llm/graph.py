@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import saved
+from tonewright.llm.common import forget, saved
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,17 +26,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (two columns of integers): the component's
-    least node. Loops and repeated edges are fine; no edges give no rows."""
+    least node. Loops and repeated edges are fine; no edges give no rows. The result is a table of
+    the shared folder; the edges of each step are deleted after the next."""
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = saved(now, "edges")
     mark = None
     while True:
-        now = saved(_stars(_stars(now, True), False), "edges")
+        before, now = now, saved(_stars(_stars(now, True), False), "edges")
+        forget(before)
         # the order of edges doesn't matter: two sums of hashes tell if anything moved
         seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) div 1048576)")).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     both = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return both.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = saved(both.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    forget(now)
+    return out

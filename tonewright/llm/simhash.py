@@ -134,7 +134,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL, blocks: int
         .select("a", F.explode("all").alias("b"))
         .where("a <> b")
     )
-    return pairs.union(stars).distinct()
+    out = saved(pairs.union(stars).distinct(), "links")
+    forget(shared)
+    return out
 
 
 def _bit(i: int) -> int:
@@ -145,18 +147,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     """(doc_id, fingerprint hex, component_id): the least doc_id that links lead to."""
     fps = saved(fingerprints(docs, words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
+    found = links(nodes.select("fp"), radius)
+    parts = components(found)
+    linked = parts.select(F.col("node").alias("fp"), "component")
     named = nodes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(leasts, "component").select("fp", "component_id")
+    forget(found)
+    # fingerprints and components stay: the result is read from them
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Sub-fingerprints of a document in a similarity search, and sampled shingles of each.
 GROUPS, SAMPLE = 30, 6
-#: Members of a group that all its members are held against in the first round; so many times
-#: more in each round that follows.
-PIVOTS, MORE = 8, 8
+#: A group's pivots in each round: so many times as many as in the round before, from one on.
+MORE = 8
 #: Bits of a set's parities, in words of 64.
 PARITY_WORDS = 8
 
@@ -252,25 +257,29 @@ def _may_reach(similarity: float) -> Column:
 
 def _linked(keyed: DataFrame, near: DataFrame, sets: DataFrame, similarity: float, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the nodes that candidates of (grp, key) groups, and the candidates
-    ``near``, link; ``verified`` gives the pairs (a, b) that hold; ``sets`` are (node, size,
-    parity).
+    ``near``, link; ``verified`` gives the pairs (a, b) that hold; ``keyed`` are (grp, key, node,
+    size), ``sets`` (node, size, parity).
 
-    Round by round each group holds pivots against all its members. Members outside the group's
+    In the first round each group holds one member, its head, against all others whose sizes allow
+    it: as many pairs as members. Heads are least under one order of all nodes, so a document
+    that meets its like in many groups mostly meets the same one. Members outside the group's
     largest component that haven't been pivots are drawn from in the next round, ``MORE`` times
     as many; when none is left, every two members have met or are in one component already. From
-    the second round on, the join itself leaves out pairs whose sizes or parities tell that they
-    aren't similar, so what it makes follows the similar pairs, not the pairs of a group. Groups
-    of copies are done after one round, whatever their size.
+    the second round on only members of different components are held together, and the join
+    itself leaves out pairs whose sizes or parities tell that they aren't similar, so what it
+    makes follows the similar pairs, not the pairs of a group. Groups of copies are done after one
+    round, whatever their size.
     """
-    sizes = keyed.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = saved(keyed.join(sizes, ["grp", "key"]), "groups")
-    heads = saved(_heads(members, PIVOTS), "pivots")
-    met = members.join(heads, ["grp", "key"]).where("node <> head").select(*_ordered("node", "head"))
-    pairs = saved(met.union(near).where("a <> b").distinct(), "pairs")
-    sure = verified(pairs)
-    forget(pairs)
-    linked = saved(components(sure), "components")
-    large, most = members.where(F.col("n") > PIVOTS).select("grp", "key", "node"), PIVOTS
+    order = F.xxhash64("node")
+    tops = keyed.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("head"), F.min_by("size", order).alias("head_size")).where("n > 1")
+    members = saved(keyed.join(tops, ["grp", "key"]), "groups")
+    fit = F.least("size", "head_size") >= F.greatest("size", "head_size") * F.lit(similarity - 1e-9)
+    met = members.where((F.col("node") != F.col("head")) & fit).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    sure = verified(saved(met.union(near).where("a <> b").distinct(), "pairs"))
+    used = [members, sure]
+    linked = components(sure)
+    large, most = members.where("n > 2").select("grp", "key", "node"), 1
+    heads = members.where("n > 2 AND node = head").select("grp", "key", "head")
     while True:
         most *= MORE
         placed = large.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -280,16 +289,23 @@ def _linked(keyed: DataFrame, near: DataFrame, sets: DataFrame, similarity: floa
         outside = placed.where("component <> main").join(heads.withColumnRenamed("head", "node"), ["grp", "key", "node"], "left_anti").select("grp", "key", "node")
         left = outside.groupBy("grp", "key").agg(F.count(F.lit(1)).alias("n"))
         drawn = saved(_heads(outside.join(left, ["grp", "key"]), most), "pivots")
+        used += [placed, drawn]
         if drawn.isEmpty():
-            return linked
+            break
         known = placed.select("grp", "key", F.col("node").alias("head"), F.col("component").alias("own"), F.col("size").alias("head_size"), F.col("parity").alias("head_parity"))
         met = placed.join(drawn.join(known, ["grp", "key", "head"]), ["grp", "key"]).where((F.col("component") != F.col("own")) & _may_reach(similarity))
         more = verified(saved(met.select(*_ordered("node", "head")).distinct(), "pairs"))
         heads = heads.union(drawn)
         large = placed.select("grp", "key", "node")
         if not more.isEmpty():
-            sure = sure.union(more)
-            linked = saved(components(sure), "components")
+            # what is linked already goes in as one edge a node
+            sure = more.union(linked.toDF("a", "b"))
+            used.append(linked)
+            linked = components(sure)
+        used.append(more)
+    for df in used:
+        forget(df)
+    return linked
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -300,17 +316,22 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     links of whole fingerprints, equal sub-fingerprints make candidates; all are verified on the
     shingle sets. Documents with equal sets are one node. At a similarity of 0.8 a pair shares no
     sub-fingerprint in one of 10,000 cases; no pair that shares one is left out.
+
+    Null and empty texts have the empty set, all alike. A very long text's set is taken in parts.
     """
     sketches = saved(_sketches(docs.where("doc_id IS NOT NULL"), words), "sketches")
     # a node is a set of shingles, named by its hash; its least document stands for it
     nodes = sketches.groupBy("whole").agg(F.min("doc_id").alias("least"))
-    firsts = sketches.select("doc_id", "fp", "whole", "subs", "size", "parity").join(nodes, "whole").where("doc_id = least").dropDuplicates(["whole"])
-    firsts = saved(firsts.select(F.col("whole").alias("node"), "doc_id", "fp", "subs", "size", "parity"), "nodes")
+    firsts = sketches.join(nodes, "whole").where("doc_id = least").dropDuplicates(["whole"])
+    firsts = saved(firsts.select(F.col("whole").alias("node"), "fp", "subs", "size", "parity", "shingles"), "nodes")
+    members = saved(sketches.select("doc_id", "whole"), "members")
+    forget(sketches)
+    nodes = members.groupBy("whole").agg(F.min("doc_id").alias("least"))
     close = links(firsts.select("fp").distinct())
     by_fp = firsts.groupBy("fp").agg(F.min("node").alias("node"))
     near = close.join(by_fp.toDF("a", "na"), "a").join(by_fp.toDF("b", "nb"), "b").select(*_ordered("na", "nb"))
-    keyed = firsts.select("node", F.posexplode("subs").alias("grp", "key")).union(firsts.select("node", F.lit(-1).alias("grp"), F.col("fp").alias("key")))
-    keyed = keyed.select("node", F.col("grp").cast("long").alias("grp"), "key")
+    keyed = firsts.select("node", "size", F.posexplode("subs").alias("grp", "key")).union(firsts.select("node", "size", F.lit(-1).alias("grp"), F.col("fp").alias("key")))
+    keyed = keyed.select("node", "size", F.col("grp").cast("long").alias("grp"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,23 +342,22 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
                 sure.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        asked = firsts.select("node", "doc_id").join(nodes.distinct(), "node").withColumnRenamed("node", "whole")
-        return sketches.select("doc_id", "whole", "shingles").join(asked, ["doc_id", "whole"]).dropDuplicates(["whole"]).select("whole", "shingles")
+    sets = firsts.select("node", "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = saved(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+        # a head is in many pairs: it is joined first, while rows are two numbers
         both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
         out = saved(arrow_map(both, run, "a long, b long"), "links")
-        forget(sets)
+        forget(pairs)
         return out
 
     linked = _linked(keyed, near, firsts.select("node", "size", "parity"), similarity, verified)
     named = nodes.join(linked.withColumnRenamed("node", "whole"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
     leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_whole = named.join(leasts, "component").select("whole", "component_id")
-    out = saved(sketches.select("doc_id", "whole").join(by_whole, "whole").select("doc_id", "component_id"), "similar")
-    forget(sketches)
+    out = saved(members.join(by_whole, "whole").select("doc_id", "component_id"), "similar")
+    for df in (firsts, members, linked):
+        forget(df)
     return out
 
 
