@@ -264,7 +264,8 @@ def _linked(keyed: DataFrame, near: DataFrame, sets: DataFrame, similarity: floa
     it: as many pairs as members. Heads are least under one order of all nodes, so a document
     that meets its like in many groups mostly meets the same one. Members outside the group's
     largest component that haven't been pivots are drawn from in the next round, ``MORE`` times
-    as many; when none is left, every two members have met or are in one component already. From
+    as many. A group is done when all of them have been pivots: every two members have met or are
+    in one component already. From
     the second round on only members of different components are held together, and the join
     itself leaves out pairs whose sizes or parities tell that they aren't similar, so what it
     makes follows the similar pairs, not the pairs of a group. Groups of copies are done after one
@@ -296,7 +297,8 @@ def _linked(keyed: DataFrame, near: DataFrame, sets: DataFrame, similarity: floa
         met = placed.join(drawn.join(known, ["grp", "key", "head"]), ["grp", "key"]).where((F.col("component") != F.col("own")) & _may_reach(similarity))
         more = verified(saved(met.select(*_ordered("node", "head")).distinct(), "pairs"))
         heads = heads.union(drawn)
-        large = placed.select("grp", "key", "node")
+        # where all members outside have been pivots now, every two have met
+        large = placed.join(left.where(F.col("n") > most).select("grp", "key"), ["grp", "key"], "left_semi").select("grp", "key", "node")
         if not more.isEmpty():
             # what is linked already goes in as one edge a node
             sure = more.union(linked.toDF("a", "b"))
