@@ -1,12 +1,12 @@
 """Registered queries over whole tables, against their twins on small tables."""
 
 import duckdb
+import pytest
 
+from helpers import asked, found
+from tonewright import case_queries as cq
 from tonewright import queries as q
-from tonewright.functions import fuzzy
-from tonewright.operators import cases
-
-from llm import fixtures as fx
+from tonewright.operators import cases, etl
 
 
 def tables(spark, tmp_path):
@@ -21,15 +21,13 @@ def tables(spark, tmp_path):
 
 
 def twin(con, name):
-    got = con.execute(q.ORACLES[name])
-    names = [c[0] for c in got.description]
-    return fx.by_row(tuple(r[i] for i in sorted(range(len(names)), key=lambda i: names[i])) for r in got.fetchall())
+    return asked(con, q.ORACLES[name])
 
 
 def test_all_lines(spark, tmp_path):
     sf, con = tables(spark, tmp_path)
     for name in ("upsert_readings_all_lines", "cross_check_all_lines", "inverted_index_cap_all_lines"):
-        assert fx.found(q.QUERIES[name](spark, sf)) == twin(con, name), name
+        assert found(q.QUERIES[name](spark, sf)) == twin(con, name), name
     seen = {s for r in q.QUERIES["upsert_readings_all_lines"](spark, sf).collect() for s in r.sources.split(",")}
     assert seen == {f"s{k}" for k in range(1, 8)}
 
@@ -37,22 +35,31 @@ def test_all_lines(spark, tmp_path):
 def test_whole_keys(spark, tmp_path):
     sf, con = tables(spark, tmp_path)
     for name in ("word_reproducible_whole_keys", "char_lookup_whole_keys"):
-        assert fx.found(q.QUERIES[name](spark, sf)) == twin(con, name), name
+        assert found(q.QUERIES[name](spark, sf)) == twin(con, name), name
     for width in (4, 6):
-        found = q.whole_names(spark, sf, width=width).collect()
-        assert len({r.name for r in found}) == len(found) == 11
-        assert all(int(r.name.translate(str.maketrans(q.HAN, q.DIGITS))) == r.id and len(r.name) >= width for r in found)
+        got = q.whole_names(spark, sf, width=width).collect()
+        assert len({r.name for r in got}) == len(got) == 11
+        assert all(int(r.name.translate(str.maketrans(q.HAN, q.DIGITS))) == r.id and len(r.name) >= width for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(cq.QUERIES))
+def test_cases(spark, tmp_path, name):
+    sf, con = tables(spark, tmp_path)
+    got = found(cq.QUERIES[name](spark, sf))
+    assert got == asked(con, cq.ORACLES[name])
+    assert got or name == "cases_fuzzy_zy_ch_c_zhuyin"  # no seed syllable has these initials
 
 
-def test_cases_of_every_system(spark, tmp_path):
+def test_every_kind_of_case_has_a_query(spark, tmp_path):
+    """The union of all kinds is what the queries give, id by id."""
     sf, _ = tables(spark, tmp_path)
-    for s, name in (("mandarin", "cases_negative"), *((s, f"cases_negative_{s}") for s in ("cantonese", "zhuyin", "japanese", "korean"))):
-        drawn = cases.drawn_inputs(spark, s, 20_000, 20260711).distinct()
-        wanted = drawn.join(cases.prefix_universe(q.seed.readings(spark), s), "input", "left_anti").count()
-        assert q.QUERIES[name](spark, sf).count() == wanted > 0, name
-    for s in ("japanese", "korean"):
-        assert q.QUERIES[f"cases_word_{s}"](spark, sf).count() == 11
-    for s in ("mandarin", "cantonese", "zhuyin", "japanese"):
-        for rule in fuzzy.rules_for(s):
-            assert (s, rule) == ("mandarin", "FUZZY_ZH_Z") or f"cases_{rule.lower()}_{s}" in q.QUERIES
-    assert q.QUERIES["cases_fuzzy_n_l_cantonese"](spark, sf).count() > 0
+    words = q._derived_words(spark, sf, True).drop("id")
+    whole = {r.id for r in cases.all_cases(words, q.seed.readings(spark)).select("id").collect()}
+    parts = {r.id for n in cq.QUERIES if n not in ("cases_word_japanese", "cases_word_korean") for r in cq.QUERIES[n](spark, sf).select("id").collect()}
+    assert whole == parts
+
+
+def test_first_words(spark):
+    rows = [("mandarin", [1], "a", [("x1", "x")], s) for s in ("two", "one", "three")] + [("mandarin", [2], "b", [("y1", "y")], "two")]
+    df = spark.createDataFrame(rows, "system string, cps array<int>, text string, readings array<struct<normalized:string,syllable:string>>, source string").repartition(3)
+    assert sorted((r.text, r.source) for r in etl.first_words(df).collect()) == [("a", "one"), ("b", "two")]

@@ -32,7 +32,7 @@ def _case(df: DataFrame, prefix: str, system: str, level: str, mode: str, keyboa
         "sourceText": F.col("sourceText") if "sourceText" in df.columns else F.lit(None).cast("string"), "polarity": col(polarity),
     }
     out = df.select(*[c.alias(k) for k, c in own.items()])
-    mark = F.lower(F.lpad(F.hex(F.xxhash64("mode", "keyboard", "input", "variant", "sourceEntry")), 16, "0"))
+    mark = F.substring(F.md5(F.concat_ws("|", "mode", "keyboard", "input", "variant", "sourceEntry").cast("binary")), 1, 16)
     return out.withColumn("id", F.concat(F.lit(prefix + "-"), mark)).select(*COLUMNS)
 
 
@@ -121,18 +121,24 @@ def fuzzy_cases(readings: DataFrame, system: str, rule: str) -> DataFrame:
     return _case(_indexed(rows, index), f"{system.upper()}-CHAR-FUZZY-{rule}", system, "CHAR", "CONTAINS", _keyboard(system), "FUZZY", (rule,))
 
 
+#: The letters that negative inputs are drawn from.
 _LETTERS = {"zhuyin": "ㄅㄆㄇㄈㄉㄊㄋㄌㄍㄎㄏㄐㄑㄒㄓㄔㄕㄖㄗㄘㄙㄧㄨㄩㄚㄛㄜㄝㄞㄟㄠㄡㄢㄣㄤㄥㄦ", "korean": "abcdefghijklmnopqrstuvwxyzQWERTOP"}
 
 
 def drawn_inputs(spark, system: str, count: int, seed: int) -> DataFrame:
-    """``count`` strings of letters drawn by hash, of two to four letters (Bopomofo: three)."""
-    letters = _LETTERS.get(system, "abcdefghijklmnopqrstuvwxyz")
-    longest = 3 if system == "zhuyin" else 4
-    size = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(-1)), F.lit(longest - 1)) + 2
-    pick = lambda i: F.substring(F.lit(letters), (F.pmod(F.xxhash64("id", F.lit(seed), i), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+    """``count`` strings of letters drawn by MD5, of two to four letters (Bopomofo: three)."""
+    letters, longest = letters_of(system)
+    drawn = lambda k, n: F.conv(F.substring(F.md5(F.concat_ws("|", "id", F.lit(seed), k).cast("binary")), 1, 8), 16, 10).cast("long") % n
+    size = drawn(F.lit(0), longest - 1) + 2
+    pick = lambda i: F.substring(F.lit(letters), (drawn(i, len(letters)) + 1).cast("int"), F.lit(1))
     return spark.range(count).select(F.array_join(F.transform(F.sequence(F.lit(1), size.cast("int")), pick), "").alias("input"))
 
 
+def letters_of(system: str) -> tuple[str, int]:
+    """The letters of a system's drawn inputs, and their greatest number."""
+    return _LETTERS.get(system, "abcdefghijklmnopqrstuvwxyz"), 3 if system == "zhuyin" else 4
+
+
 def prefix_universe(readings: DataFrame, system: str) -> DataFrame:
     """Every prefix of every typed form of a system's readings."""
     said = F.explode(F.array(_typed(system, F.col("syllable")), _typed(system, F.col("normalized")))).alias("s")

@@ -77,8 +77,10 @@ def derive_zhuyin(readings: DataFrame, bopomofo: DataFrame, source: str = "suppl
 
 
 def first_words(words: DataFrame) -> DataFrame:
-    """Words without repeats of (system, code points, text): the first source's row stays."""
-    return words.dropDuplicates(["system", "cps", "text"])
+    """Words without repeats of (system, code points, text): the first source's row stays, by the
+    source's name, then its readings."""
+    row = F.struct("source", *[c for c in words.columns if c != "source"])
+    return words.groupBy("system", "cps", "text").agg(F.min(row).alias("row")).select(*[F.col("row")[c].alias(c) for c in words.columns])
 
 
 def inverted_index(pairs: DataFrame, key: str = "key", surface: str = "surface") -> DataFrame:
@@ -121,5 +123,5 @@ def statistics(readings: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: Column, count: int, seed: int) -> DataFrame:
-    """``count`` rows drawn by a hash of a key and a seed: the same ones wherever it runs."""
-    return df.withColumn("_draw", F.xxhash64(key, F.lit(seed))).orderBy("_draw").limit(count).drop("_draw")
+    """``count`` rows drawn by MD5 of a key and a seed: the same ones wherever it runs."""
+    return df.withColumn("_draw", F.md5(F.concat_ws("|", key, F.lit(seed)).cast("binary"))).orderBy("_draw").limit(count).drop("_draw")

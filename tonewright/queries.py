@@ -457,47 +457,3 @@ def _capped_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["inverted_index_cap_all_lines"] = _capped_all_lines
 ORACLES["inverted_index_cap_all_lines"] = ORACLES["inverted_index_cap"].replace(_DERIVED_SQL, _all_lines_sql())
-
-# ---- match cases: ids are hashes that SQL has no function for
-
-
-def _cases(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: make(_derived_words(spark, sf, True).drop("id"), seed.readings(spark))
-
-
-for _s in _COUNTS:
-    QUERIES[f"cases_char_{_s}"] = _cases(lambda w, r, s=_s: cases.char_cases(r, s, ("FULL", "PARTIAL") if s == "japanese" else ("FULL", "PARTIAL", "TONED")))
-QUERIES["cases_char_korean"] = _cases(lambda w, r: cases.char_cases(r, "korean", ("FULL", "PARTIAL")))
-QUERIES["cases_word_mandarin"] = _cases(lambda w, r: cases.word_cases(w, r))
-for _s in keyboards.SCHEMES:
-    QUERIES[f"cases_shuangpin_{_s}"] = _cases(lambda w, r, s=_s: cases.shuangpin_cases(w, r, s))
-QUERIES["cases_equivalence"] = _cases(lambda w, r: cases.equivalence_cases(r))
-QUERIES["cases_fuzzy"] = _cases(lambda w, r: cases.fuzzy_cases(r, "mandarin", "FUZZY_ZH_Z"))
-for _s in _COUNTS:
-    for _r in fuzzy.rules_for(_s):
-        if (_s, _r) != ("mandarin", "FUZZY_ZH_Z"):
-            QUERIES[f"cases_{_r.lower()}_{_s}"] = _cases(lambda w, r, s=_s, rule=_r: cases.fuzzy_cases(r, s, rule))
-QUERIES["cases_negative"] = _cases(lambda w, r: cases.negative_cases(r, "mandarin"))
-for _s in ("cantonese", "zhuyin", "japanese", "korean"):
-    QUERIES[f"cases_negative_{_s}"] = _cases(lambda w, r, s=_s: cases.negative_cases(r, s))
-
-
-def _word_cases(system: str, alphabet: str) -> Query:
-    """Word cases of names: Korean ones said as they are written, Japanese ones by first readings."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = whole_names(spark, sf_dir, alphabet, 4)
-        said = F.array(F.col("name"))
-        if system == "japanese":
-            first = F.create_map(*[F.lit(x) for c in sorted(set(alphabet)) for x in (c, seed.JAPANESE[c].split()[0])])
-            said = F.transform(tx.chars(F.col("name")), lambda c: F.try_element_at(first, c))
-        reading = F.transform(said, lambda r: F.struct(r.alias("normalized"), r.alias("syllable")))
-        words = n.select(F.lit(system).alias("system"), tx.to_codepoints(F.col("name")).alias("cps"), F.col("name").alias("text"), reading.alias("readings"), F.lit("names").alias("source"))
-        return cases.word_cases(words, seed.readings(spark), system)
-
-    return run
-
-
-QUERIES["cases_word_japanese"] = _word_cases("japanese", KANA_HAN)
-QUERIES["cases_word_korean"] = _word_cases("korean", HANGUL)
-QUERIES["cases_scenarios"] = _cases(lambda w, r: cases.scenario_cases(w, r))
