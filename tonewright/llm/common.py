@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,19 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder is
-    set on the context, so that ``checkpoint()`` works there too.
+    Where ``spark.checkpoint.dir`` is unset and Spark runs in this process alone, as in tests, a
+    temporary folder is set on the context. On a cluster it has to be named.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tonewright-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
+    held = context._jsc.sc().getCheckpointDir()
+    if not named and held.isEmpty() and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if held.isEmpty():
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tonewright-"))
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -54,10 +53,25 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with bounded_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``ARROW_ROWS`` rows at most while a table is written; then the caller's
+    setting holds again. Functions cut any batch by bytes (``slices``) in either case."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def columns(names: Iterable[str]) -> list[Column]:
     """Columns by their whole names, whatever characters these hold."""
     return [F.col(f"`{n}`") for n in names]
@@ -89,10 +103,7 @@ def arrow_map(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
 ) -> DataFrame:
-    """``mapInArrow`` with batches of bounded size."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """``mapInArrow``; ``fn`` takes its batches apart with ``slices``."""
     return df.mapInArrow(fn, schema)
 
 
@@ -209,15 +220,3 @@ def read_file(spark: SparkSession, path: str) -> str | None:
     if not fs.exists(where):
         return None
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps: it follows the collector, and
-    works beside it, so that it is given a moment."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)

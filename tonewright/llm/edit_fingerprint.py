@@ -13,13 +13,17 @@ A slot keeps eight bits hashed from the place and the character there; the finge
 slots in hexadecimal, and likeness the share of equal slots, which estimates the share of equal
 places of the longer string.
 
-For search the walks are too coarse: edits at a tenth of the places already part most of them.
-There, buckets are grams of characters, as long as a run that edits at the threshold's rate leaves
-untouched; pairs of a bucket are verified by exact edit distance.
+Search (``near_pairs``) is by bit-sampled banding and verification: a band is ``BAND_BITS`` bits of
+the fingerprint drawn at random, texts with an equal band are candidates, and these are verified by
+exact edit distance. Edits at a tenth of the places already part most walks, so bands alone find
+few of the pairs at the threshold; grams of characters, as long as a run that edits at the
+threshold's rate leaves untouched, are buckets beside the bands.
 
 Null is the empty text: its slots are zero, alike to empty texts only. Equal texts have equal
-fingerprints. Rows are ordered by doc_id, nulls first, then by text; a table's last row is
-followed by its first, also if that is the same.
+fingerprints, so repeated rows are alike. Rows are ordered by doc_id, nulls first, then by text; a
+table's last row is followed by its first, also if that is the same. An empty table gives no rows.
+A very long text is walked whole; its code points and its steps' times are in memory at once, about
+twelve bytes a character. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ CLASSES = 64
 FEW = 48
 #: Untouched runs as long as a gram that a pair at the threshold has, as expected of random edits.
 RUNS = 6
+#: Bands of a fingerprint, and sampled bits of each.
+BANDS, BAND_BITS = 24, 48
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -345,6 +351,37 @@ def _anchored(texts: DataFrame, least: float) -> DataFrame:
     return arrow_map(texts.select("node", "text"), run, "key long, node long")
 
 
+def _sampled_bits() -> np.ndarray:
+    """The bits of each band: places in the fingerprint, in the order of a shared random draw."""
+    out = []
+    for band in range(BANDS):
+        seed = np.frombuffer(hashlib.shake_256(b"band %d" % band).digest(32 * SLOTS), "<u4")
+        out.append(np.argsort(seed[: 8 * SLOTS], kind="stable")[:BAND_BITS])
+    return np.array(out)
+
+
+def bands(fingerprints: list[str]) -> np.ndarray:
+    """For each fingerprint its bands, each a number."""
+    if not fingerprints:
+        return np.zeros((0, BANDS), np.int64)
+    bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(fingerprints)), np.uint8).reshape(len(fingerprints), SLOTS), axis=1)
+    return bits[:, _sampled_bits()].astype(np.int64) @ (np.int64(1) << np.arange(BAND_BITS, dtype=np.int64))
+
+
+def _banded(texts: DataFrame) -> DataFrame:
+    """(node, size, grp, key) of the bands of all texts but the empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = bands(batch.column("fingerprint").to_pylist())
+            n = batch.num_rows
+            cols = [pa.array(np.repeat(batch.column("node").to_numpy(), BANDS)), pa.array(np.repeat(batch.column("size").to_numpy(), BANDS))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(1, BANDS + 1), n)), pa.array(keys.ravel())], ["node", "size", "grp", "key"])
+
+    small = texts.select("node", F.char_length("text").alias("size"), "fingerprint").where("size > 0")
+    return arrow_map(small, run, "node long, size int, grp long, key long")
+
+
 def may_reach(a: str, b: str, least: float) -> bool:
     """False only if the grams of three or of four characters that two texts share are too few."""
     x, y = (points(t.encode()).astype(np.uint64) for t in (a, b))
@@ -387,13 +424,15 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     group of near copies gives as many pairs as it has members, not their square.
     ``edit_similarity`` is 1 - distance / longer length, and at least ``least``.
 
-    Buckets are anchors. Edits that are spread evenly on purpose can leave only shorter runs than
+    Buckets are the fingerprints' bands, and grams. Edits that are spread evenly on purpose can leave only shorter runs than
     a gram has; of random ones at the threshold's rate a few in a thousand do.
     """
     if not 0 < least < 1:
         raise ValueError("least is between 0 and 1")
     texts = saved(_whole_texts(docs), "texts")
-    keyed = saved(_anchored(texts, least), "anchors").select("node", F.lit(0).cast("long").alias("grp"), "key")
+    sizes = texts.select("node", F.char_length("text").alias("size"))
+    anchored = _anchored(texts, least).join(sizes, "node").select("node", "size", F.lit(0).cast("long").alias("grp"), "key")
+    keyed = saved(anchored.union(_banded(texts)), "anchors")
     # lengths rule pairs out; there are no parities
     sets = texts.select("node", F.char_length("text").alias("size"), F.array_repeat(F.lit(0).cast("long"), PARITY_WORDS).alias("parity"))
     sure: list[DataFrame] = []

@@ -277,7 +277,7 @@ def _linked(keyed: DataFrame, near: DataFrame, sets: DataFrame, similarity: floa
     fit = F.least("size", "head_size") >= F.greatest("size", "head_size") * F.lit(similarity - 1e-9)
     met = members.where((F.col("node") != F.col("head")) & fit).select(F.col("node").alias("a"), F.col("head").alias("b"))
     sure = verified(saved(met.union(near).where("a <> b").distinct(), "pairs"))
-    used = [members, sure]
+    used = [members]
     linked = components(sure)
     large, most = members.where("n > 2").select("grp", "key", "node"), 1
     heads = members.where("n > 2 AND node = head").select("grp", "key", "head")
@@ -304,7 +304,6 @@ def _linked(keyed: DataFrame, near: DataFrame, sets: DataFrame, similarity: floa
             sure = more.union(linked.toDF("a", "b"))
             used.append(linked)
             linked = components(sure)
-        used.append(more)
     for df in used:
         forget(df)
     return linked
@@ -345,20 +344,21 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(sure, pa.bool_()))
 
     sets = firsts.select("node", "shingles")
+    found = []
 
     def verified(pairs: DataFrame) -> DataFrame:
         # a head is in many pairs: it is joined first, while rows are two numbers
         both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-        out = saved(arrow_map(both, run, "a long, b long"), "links")
+        found.append(saved(arrow_map(both, run, "a long, b long"), "links"))
         forget(pairs)
-        return out
+        return found[-1]
 
     linked = _linked(keyed, near, firsts.select("node", "size", "parity"), similarity, verified)
     named = nodes.join(linked.withColumnRenamed("node", "whole"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
     leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_whole = named.join(leasts, "component").select("whole", "component_id")
     out = saved(members.join(by_whole, "whole").select("doc_id", "component_id"), "similar")
-    for df in (firsts, members, linked):
+    for df in (firsts, members, linked, *found):
         forget(df)
     return out
 

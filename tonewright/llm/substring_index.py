@@ -39,7 +39,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, columns, exists, forget, free_name, fresh_path, range_bounds, raw, read_file, release, remove, saved, slices, write_file
+from tonewright.llm.common import arrow_map, columns, exists, forget, free_name, fresh_path, range_bounds, raw, read_file, remove, saved, slices, write_file
 
 WINDOW = 13
 GRAM = 5
@@ -171,7 +171,6 @@ class FingerprintIndex:
         met = every.join(shared, "hash", "left").where("new OR shared").select("hash", "doc_id", F.coalesce("shared", F.lit(False)).alias("shared"), "new")
         folder = f"{self.path}/run-{len(self.runs)}-{fresh_path(spark, '').rpartition('-')[2]}"
         met.sortWithinPartitions("new", "hash", "doc_id").write.partitionBy("new").parquet(folder)
-        release(spark)
         held = spark.read.schema("hash long, doc_id long, shared boolean, new boolean").parquet(folder)
 
         wanted = held.where("shared").groupBy("doc_id", "new").agg(F.collect_list("hash").alias("hashes"))
@@ -187,7 +186,6 @@ class FingerprintIndex:
             if _MISSING in str(e):
                 raise ValueError(_MISSING) from e
             raise
-        release(spark)
         # plain numbers, so that the aggregation hashes; a struct's minimum would have to sort
         firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.bool_and("new").alias("fresh"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         lost = windows.where("new").join(firsts, ["w1", "w2"]).where("NOT fresh OR doc_id > first").select("doc_id", "w1")
@@ -198,7 +196,6 @@ class FingerprintIndex:
             self._commit([*self.runs, (0, f"{folder}/new=true")])
         remove(spark, f"{folder}/new=false")
         self.compact()
-        release(spark)
         return out
 
     def compact(self) -> None:
