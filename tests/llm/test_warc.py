@@ -90,6 +90,23 @@ def test_records_without_partners(spark):
     assert sorted((r.capture, r.request is None, r.response is None, r.metadata is None) for r in got) == [("<urn:a>", True, False, True), ("<urn:gone>", False, True, True)]
 
 
+def test_records_over_files_and_steps(spark):
+    """Every concurrent-to field counts, in either direction, over files and over other records."""
+    r = lambda kind, own, block=b"GET / HTTP/1.1\r\n\r\n", **more: warc.record(kind, own, block, "application/http", "", **more)
+    http, digest = b"HTTP/1.1 200 OK\r\n\r\nhi", "sha1:" + b32("hi")
+    two = warc.record("metadata", "<m1>", b"page-id: 1\r\n", "application/warc-fields", "", WARC_Concurrent_To="<q1>\r\nWARC-Concurrent-To: <r1>")
+    files = [
+        r("response", "<r1>", http, WARC_Payload_Digest=digest, WARC_Concurrent_To="<q1>") + r("request", "<q2>", WARC_Concurrent_To="<r2>"),
+        r("request", "<q1>") + warc.record("metadata", "<m2>", b"page-id: 2\r\n", "application/warc-fields", "", WARC_Concurrent_To="<q2>"),
+        two + r("response", "<r2>", http, WARC_Payload_Digest=digest),
+    ]
+    assert [h["warc-concurrent-to"] for h, _ in warc.parse(two)] == ["<q1> <r1>"]
+    archives = spark.createDataFrame([(f"f{k}", bytearray(d)) for k, d in enumerate(files)], "file string, archive binary")
+    for with_payload in (False, True):
+        got = warc.assemble(warc.read_records(archives, with_payload)).collect()
+        assert sorted((c.capture, c.request.record_id, c.response.record_id, c.metadata.page_id) for c in got) == [("<r1>", "<q1>", "<r1>", 1), ("<r2>", "<q2>", "<r2>", 2)]
+
+
 def test_empty_table(spark):
     assert warc.capture_digest(pages(spark, [])).collect() == []
 

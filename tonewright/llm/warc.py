@@ -3,9 +3,9 @@
 Each page gives three gzip members: a ``request`` record, a ``response`` (or ``revisit``) record
 and a ``metadata`` record; request and metadata name the response in ``WARC-Concurrent-To``. Of
 pages with equal payloads of at least ``least_bytes``, the one with the largest page_id is the
-response and the others revisit it. Assembly brings the records that name one another together
-by that identifier, in one shuffle without payloads unless these are asked for, and gives one
-nested row per capture.
+response and the others revisit it. Assembly brings the records that name one another together,
+whatever files they are in, in one shuffle without payloads unless these are asked for, and gives
+one nested row per capture.
 
 Archives are binary values of a Parquet table written by Spark's committer: no half files after
 a lost executor, any Hadoop file system; each value is a complete ``.warc.gz`` file.
@@ -22,16 +22,16 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, fresh_path, raw, slices
+from tonewright.llm.common import arrow_map, fresh_path, raw, saved, slices
+from tonewright.llm.graph import components
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,7 +83,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             lines = member[at:end].decode().split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError("not a WARC record")
-            head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            head: dict[str, str] = {}
+            for k, _, v in (x.partition(":") for x in lines[1:]):
+                k, v = k.lower(), v.strip()
+                # the one field that may be repeated: identifiers hold no spaces
+                head[k] = f"{head[k]} {v}" if k == "warc-concurrent-to" and k in head else v
             start, n = end + 4, int(head["content-length"])
             if member[start + n : start + n + 4] != b"\r\n\r\n":
                 raise ValueError("a record's block has another length than it says")
@@ -130,14 +134,13 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.expr("sha1(CAST(html AS BINARY))"))
-    # what all tasks agree on is decided before the shuffle: one row per payload and task
-    keepers = pages.groupBy("digest").agg(F.max("page_id").alias("keeper"))
-    judged = pages.join(keepers, "digest").select(
-        "page_id",
-        "url",
-        "html",
-        F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("revisits"),
-    )
+    # who revisits whom is decided on digests and numbers alone; a hot payload's html stays where it is
+    marks = pages.select("digest", "page_id", (F.octet_length("html") >= least_bytes).alias("counts"))
+    keepers = marks.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keeper IS NOT NULL").drop("n")
+    again = marks.join(keepers, "digest").where("counts AND NOT page_id <=> keeper").select("digest", "page_id", "keeper").distinct()
+    # a table of known size: Spark sends it to the pages if it is below the session's threshold
+    again = saved(again, "revisits").select(F.col("digest").alias("d"), F.col("page_id").alias("p"), F.col("keeper").alias("revisits"))
+    judged = pages.join(again, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left").select("page_id", "url", "html", "revisits")
     run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,32 +172,30 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     return path
 
 
-_RECORD = "file string, capture string, nth int, kind string, record_id string, uri string, date string, refers_to string, page_id long, refers_to_page long, payload_bytes long, payload_digest string"
+_RECORD = "file string, place int, concurrent array<string>, kind string, record_id string, uri string, date string, refers_to string, page_id long, refers_to_page long, payload_bytes long, payload_digest string"
+_MAIN = ["response", "revisit"]
 
 
 def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row per record of (file, archive). ``capture`` is the response's identifier: its own,
-    or the one that the record is concurrent to; ``nth`` tells repeats of it in a file apart."""
+    """One row per record of (file, archive), with its place in the file and the identifiers of
+    all records it is concurrent to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _RECORD.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 5, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), *[pa.string()] * 5, pa.int64(), pa.int64(), pa.int64(), pa.string()]
         if with_payload:
             names, kinds = [*names, "payload"], [*kinds, pa.binary()]
         for batch in batches:
             for file, data in zip(batch.column("file").to_pylist(), batch.column("archive").to_pylist(), strict=True):
-                seen: Counter = Counter()
                 rows, held = [], 0
 
                 def out():
                     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-                for head, block in parse(data):
+                for place, (head, block) in enumerate(parse(data)):
                     kind, own = head["warc-type"], head["warc-record-id"]
-                    key = head.get("warc-concurrent-to", own)
-                    seen[key, kind] += 1
                     page = refers = size = digest = payload = None
-                    if kind in ("response", "revisit"):
+                    if kind in _MAIN:
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest = head["warc-payload-digest"].removeprefix("sha1:")
                         if kind == "response":
@@ -207,7 +208,7 @@ def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                     elif kind == "metadata":
                         notes = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x)
                         page, refers = (int(notes[k]) if k in notes else None for k in ("page-id", "refers-to-page"))
-                    row = (file, key, seen[key, kind], kind, own, head.get("warc-target-uri"), head["warc-date"], head.get("warc-refers-to"), page, refers, size, digest)
+                    row = (file, place, head.get("warc-concurrent-to", "").split(), kind, own, head.get("warc-target-uri"), head["warc-date"], head.get("warc-refers-to"), page, refers, size, digest)
                     rows.append((*row, payload) if with_payload else row)
                     held += len(payload or b"") if with_payload else 300
                     if held > 4_000_000:
@@ -219,22 +220,50 @@ def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     return arrow_map(archives, run, _RECORD + (", payload binary" if with_payload else ""))
 
 
+def _captures(links: DataFrame) -> DataFrame | None:
+    """(record_id, capture) of records that (record_id, kind, concurrent) tie together over any
+    number of steps; None if every link leads from another record to a response, which then
+    names the capture."""
+    edges = links.select("record_id", "kind", F.explode("concurrent").alias("other"))
+    mains = links.where(F.col("kind").isin(_MAIN)).select(F.col("record_id").alias("other")).distinct()
+    others = edges.where(~F.col("kind").isin(_MAIN))
+    straight = edges.where(F.col("kind").isin(_MAIN)).isEmpty() and links.where("size(concurrent) > 1").isEmpty() and others.join(mains, "other", "left_anti").isEmpty()
+    if straight:
+        return None
+    parts = components(edges.select(F.xxhash64("record_id").alias("a"), F.xxhash64("other").alias("b")))
+    known = links.join(parts, F.xxhash64("record_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", F.xxhash64("record_id")))
+    name = F.coalesce(F.min(F.when(F.col("kind").isin(_MAIN), F.col("record_id"))), F.min(F.array_min("concurrent")), F.min("record_id"))
+    return known.select("record_id", "part").distinct().join(known.groupBy("part").agg(name.alias("capture")), "part").select("record_id", "capture")
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: request, response (or revisit) and metadata side by side.
 
-    A record without partners gives a capture whose other parts are null.
+    Records belong together that name one another in any concurrent-to field, in either direction,
+    over any number of steps and in any files. The capture is named by its response's identifier.
+    Where an identifier is repeated, the n-th request, response and metadata by file and place
+    make the n-th capture. A record without partners gives a capture whose other parts are null.
     """
     common = ["record_id", "uri", "date"]
-    main = [*common, "kind", "refers_to", "payload_bytes", "payload_digest", *(["payload"] if "payload" in records.columns else [])]
+    payload = ["payload"] if "payload" in records.columns else []
+    main = [*common, "kind", "refers_to", "payload_bytes", "payload_digest", *payload]
+    if not payload:
+        records = saved(records, "records")  # archives are parsed once
+    links = records.select("record_id", "kind", "concurrent") if not payload else saved(records.select("record_id", "kind", "concurrent"), "records")
+    captures = _captures(links)
+    if captures is None:
+        named = records.withColumn("capture", F.coalesce(F.get("concurrent", F.lit(0)), F.col("record_id")))
+    else:
+        named = records.join(captures, "record_id")
+    role = F.when(F.col("kind").isin(_MAIN), "response").otherwise(F.col("kind"))
+    # one shuffle by capture serves the numbering and the grouping
+    dealt = named.withColumn("role", role).repartition("capture")
+    nth = F.row_number().over(Window.partitionBy("capture", "role").orderBy("file", "place"))
 
-    def part(kinds: list[str], fields: list[str]):
-        return F.first(F.when(F.col("kind").isin(kinds), F.struct(*fields)), ignorenulls=True)
+    def part(of: str, fields: list[str]):
+        return F.first(F.when(F.col("role") == of, F.struct(*fields)), ignorenulls=True).alias(of)
 
-    return records.groupBy("file", "capture", "nth").agg(
-        part(["request"], common).alias("request"),
-        part(["response", "revisit"], main).alias("response"),
-        part(["metadata"], [*common, "page_id", "refers_to_page"]).alias("metadata"),
-    )
+    return dealt.withColumn("nth", nth).groupBy("capture", "nth").agg(part("request", common), part("response", main), part("metadata", [*common, "page_id", "refers_to_page"]))
 
 
 def capture_digest(pages: DataFrame) -> DataFrame:
