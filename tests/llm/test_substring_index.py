@@ -125,3 +125,45 @@ def test_new_documents_against_a_filled_index(spark, tmp_path):
     none = np.zeros(0, np.int64)
     wanted = [(d, mark) for (d, _), (_, mark) in zip(rows, brute(rows), strict=True) if d >= 400]
     assert fx.by_row((d, si.covered(t.encode(), gone.get(d, none)).tolist()) for d, t in rows if d >= 400) == fx.by_row(wanted)
+
+
+def _operators(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+def test_history_is_merged_in_place(spark, tmp_path):
+    """The join of a new run with older ones neither shuffles nor sorts them."""
+    rows = sorted((r for r in shared(6) if r[0] is not None), key=lambda r: r[0])
+    docs = documents(fx.table(spark, rows)).cache()
+    index = si.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=9, buckets=4)
+    before = None
+    for k, (a, b) in enumerate(((0, 100), (100, 400), (400, 2000))):
+        index.append(docs.where(f"doc_id >= {a} AND doc_id < {b}"), before)
+        before = docs.where(f"doc_id < {b}")
+        assert len(index.runs) == k + 1
+    with index.opened([r for _, r in index.runs]) as (new, *old):
+        for run in old:
+            asked = new.groupBy("hash").agg(F.lit(1).alias("one")).drop("one")
+            plan = _operators(run.hint("merge").join(asked.hint("merge"), "hash", "left_semi"))
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            # the one sort is that of the new run's different hashes
+            assert plan.count("+- Sort [") == 1 and plan.count("Bucketed: true") == 2
+        merged = new.union(old[0]).groupBy("hash", "doc_id").count()
+        assert "Exchange" not in _operators(merged)
+        held = [r for run in (new, *old) for r in run.collect()]
+    whole = {(r.hash, r.doc_id) for r in si.anchors(docs).collect()}
+    assert {(r.hash, r.doc_id) for r in held} == whole
+
+
+def test_rows_read_of_many_batches(spark, tmp_path):
+    """Compaction keeps few runs, however many batches come; none is lost."""
+    rows = [(k, " ".join(fx.words(random.Random(k % 9), 20, 500))) for k in range(24)]
+    docs = documents(fx.table(spark, rows)).cache()
+    index = si.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    cut = set()
+    for k in range(12):
+        inside = docs.where(f"doc_id >= {2 * k} AND doc_id < {2 * k + 2}")
+        cut |= {r.doc_id for r in index.append(inside, docs.where(f"doc_id < {2 * k}") if k else None).collect()}
+        assert len(index.runs) <= (k + 1).bit_length()
+    assert cut == set(range(9, 24))

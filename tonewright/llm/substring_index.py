@@ -2,28 +2,32 @@
 
 A window is ``WINDOW`` consecutive words. Its fingerprint is the least hash of its ``GRAM``-word
 grams, so equal windows have equal fingerprints and neighbours mostly share theirs: a document
-adds about two for every nine words. The index is a list of immutable runs of (hash, doc_id),
-each sorted by hash. A new batch
+adds about two for every nine words. The index is a list of immutable runs of (hash, doc_id). A
+run is dealt to the index's buckets by hash and sorted inside them, one file a bucket. A new batch
 
-1. is joined with the runs by hash, which tells the hashes that occur in two documents at least;
-   its own part of the join, sorted, becomes the next run;
-2. is verified: for documents with such hashes, old and new, the windows that have them are
+1. becomes the next run: its fingerprints are the only ones that are shuffled;
+2. is merge-joined with itself and every older run, bucket by bucket and in their order, without
+   shuffling or sorting history: this tells the hashes that occur in two documents at least;
+3. is verified: for documents with such hashes, old and new, the windows that have them are
    compared by 96 bits of the window's words, and the first document of each window found;
-3. gives for each of its documents the windows that an earlier document has.
+4. gives for each of its documents the windows that an earlier document has.
 
 Runs hold no texts. So a batch that meets a filled index comes with the indexed texts; if they are
 missing, or one of a document that shares a hash with the batch is, that is an error.
 
 When ``fanout`` runs of a level have come together they are merged into one of the next level.
-Earlier means: in the index already, or in the batch with a smaller doc_id.
+Earlier means: in the index already, or in the batch with a smaller doc_id. A whole table is taken
+in batches that double in size, so that all history they meet is smaller than the table.
 
-Counts of hashes and first documents are aggregated before the shuffle; where a hash or a window
-is in a third of all documents, the joins that follow are sort-merge joins whose skewed
-partitions Spark splits.
+Counts of hashes and first documents are aggregated before the shuffle; where a window is in a
+third of all documents, the join that follows is a sort-merge join whose skewed partitions Spark
+splits, and a hash of a third of all documents meets one row of counts, not its copies.
 
 Null and empty texts, and those of under 13 words, lose nothing. Rows of one doc_id are one
 document for this purpose: they never remove words from each other, and each loses what an
-earlier document has. Rows with a null doc_id are neither indexed nor cut.
+earlier document has. Rows with a null doc_id are neither indexed nor cut. An empty table gives no
+rows. A very long text is hashed whole, with some arrays of eight bytes a word beside it. Columns
+other than doc_id and text pass through ``cut_documents`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +46,14 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, columns, exists, forget, free_name, fresh_path, range_bounds, raw, read_file, remove, saved, slices, write_file
+from tonewright.llm.common import arrow_map, bounded_batches, columns, forget, free_name, fresh_path, raw, read_file, remove, saved, slices, write_file
 
 WINDOW = 13
 GRAM = 5
 BATCHES = 3
 FANOUT = 2
+#: Documents for each bucket of an index that is made for a table; buckets of other indexes.
+BUCKET_DOCUMENTS, BUCKETS = 20_000, 16
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -132,26 +141,71 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """The runs of one index, kept below ``path`` with a manifest that names them."""
+    """The runs of one index, kept below ``path`` with a manifest that names them.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+    ``buckets`` is fixed when an index begins; an index that goes on keeps its own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int = BUCKETS):
         self.spark, self.fanout = spark, fanout
         self.path = path or fresh_path(spark, "fingerprint-index")
         held = read_file(spark, f"{self.path}/manifest.json")
+        found = json.loads(held) if held else {"runs": [], "buckets": buckets}
+        self.buckets: int = found["buckets"]
         #: (level, folder), oldest first
-        self.runs: list[tuple[int, str]] = [tuple(r) for r in json.loads(held)["runs"]] if held else []
-
-    def postings(self) -> DataFrame | None:
-        """(hash, doc_id) of all runs."""
-        return self.spark.read.parquet(*[r for _, r in self.runs]).select("hash", "doc_id") if self.runs else None
+        self.runs: list[tuple[int, str]] = [tuple(r) for r in found["runs"]]
 
     def _commit(self, runs: list[tuple[int, str]]) -> None:
         gone = {r for _, r in self.runs} - {r for _, r in runs}
-        write_file(self.spark, f"{self.path}/manifest.json", json.dumps({"window": WINDOW, "gram": GRAM, "runs": runs}))
+        write_file(self.spark, f"{self.path}/manifest.json", json.dumps({"window": WINDOW, "gram": GRAM, "buckets": self.buckets, "runs": runs}))
         self.runs = runs
         for r in gone:
             remove(self.spark, r)
 
+    def _write(self, rows: DataFrame, level: int, dealt: bool = False) -> str:
+        """Write (hash, doc_id) as a run; returns its folder. ``dealt``: partitions are buckets."""
+        folder = f"{self.path}/run-{level}-{uuid.uuid4().hex}"
+        name = f"tonewright_run_{uuid.uuid4().hex}"
+        rows = rows.select("hash", "doc_id")
+        rows = (rows if dealt else rows.repartition(self.buckets, "hash")).sortWithinPartitions("hash", "doc_id")
+        with bounded_batches(self.spark):
+            rows.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("path", folder).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        return folder
+
+    @contextmanager
+    def opened(self, folders: list[str]) -> Iterator[list[DataFrame]]:
+        """Runs as tables whose buckets and order Spark knows; the catalogue forgets them after."""
+        names = [f"tonewright_run_{uuid.uuid4().hex}" for _ in folders]
+        order = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(order)
+        self.spark.conf.set(order, "true")
+        try:
+            for name, folder in zip(names, folders, strict=True):
+                self.spark.sql(f"CREATE TABLE {name} (hash BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{folder}'")
+            yield [self.spark.table(name) for name in names]
+        finally:
+            self.spark.conf.set(order, before)
+            for name in names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _met(self, folder: str) -> DataFrame:
+        """(hash, doc_id, new): the rows of a new run and of the older ones whose hash some other
+        row has, at least one of the two being new."""
+        with self.opened([folder, *[r for _, r in self.runs]]) as (new, *old):
+            own = new.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+            every = new.hint("merge").join(own.hint("merge"), "hash")
+            again = F.col("n") > 1
+            for k, run in enumerate(old):
+                held = run.groupBy("hash").agg(F.lit(True).alias(f"in{k}"))
+                every = every.join(held.hint("merge"), "hash", "left")
+                again = again | F.coalesce(f"in{k}", F.lit(False))
+            met = every.where(again).select("hash", "doc_id", F.lit(True).alias("new"))
+            for run in old:
+                asked = new.groupBy("hash").agg(F.lit(1).alias("one")).drop("one")
+                met = met.union(run.hint("merge").join(asked.hint("merge"), "hash", "left_semi").select("hash", "doc_id", F.lit(False).alias("new")))
+            return saved(met, "met")
+
     def append(self, batch: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         """Deduplicate (doc_id, text) against the index, and add it.
 
@@ -163,20 +217,12 @@ class FingerprintIndex:
             raise ValueError("the index has runs: the texts of indexed documents are needed to verify what they share with the batch")
         spark = self.spark
         batch = batch.where("doc_id IS NOT NULL")
-        old = self.postings()
-        every = anchors(batch).withColumn("new", F.lit(True))
-        if old is not None:
-            every = every.union(old.withColumn("new", F.lit(False)))
-        shared = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("mine")).where("n > 1 AND mine > 0").select("hash", F.lit(True).alias("shared"))
-        met = every.join(shared, "hash", "left").where("new OR shared").select("hash", "doc_id", F.coalesce("shared", F.lit(False)).alias("shared"), "new")
-        folder = f"{self.path}/run-{len(self.runs)}-{fresh_path(spark, '').rpartition('-')[2]}"
-        met.sortWithinPartitions("new", "hash", "doc_id").write.partitionBy("new").parquet(folder)
-        held = spark.read.schema("hash long, doc_id long, shared boolean, new boolean").parquet(folder)
-
-        wanted = held.where("shared").groupBy("doc_id", "new").agg(F.collect_list("hash").alias("hashes"))
+        folder = self._write(anchors(batch), 0)
+        met = self._met(folder)
+        wanted = met.groupBy("doc_id", "new").agg(F.collect_list("hash").alias("hashes"))
         given = lambda df, new: df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(new).alias("new"))
         texts = given(batch, True)
-        if old is not None:
+        if self.runs:
             texts = texts.union(given(corpus, False))
         # a null text after this join is one that the corpus doesn't have
         try:
@@ -191,10 +237,8 @@ class FingerprintIndex:
         lost = windows.where("new").join(firsts, ["w1", "w2"]).where("NOT fresh OR doc_id > first").select("doc_id", "w1")
         out = saved(lost, "lost")
         forget(windows)
-        # the sorted rows of this batch are the new run; what history gave to the join goes
-        if exists(spark, f"{folder}/new=true"):  # a batch of short texts has no windows
-            self._commit([*self.runs, (0, f"{folder}/new=true")])
-        remove(spark, f"{folder}/new=false")
+        forget(met)
+        self._commit([*self.runs, (0, folder)])
         self.compact()
         return out
 
@@ -205,21 +249,33 @@ class FingerprintIndex:
             full = next((x for x in sorted(set(levels)) if levels.count(x) >= self.fanout), None)
             if full is None:
                 return
-            folder = f"{self.path}/run-{full + 1}-{fresh_path(self.spark, '').rpartition('-')[2]}"
-            together = self.spark.read.parquet(*[r for level, r in self.runs if level == full]).select("hash", "doc_id")
-            together.hint("rebalance", "hash").sortWithinPartitions("hash", "doc_id").write.parquet(folder)
+            with self.opened([r for level, r in self.runs if level == full]) as runs:
+                # the union of runs has their buckets, so nothing is shuffled; a row is kept once
+                rows = reduce(DataFrame.union, runs).groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
+                folder = self._write(rows, full + 1, dealt=True)
             self._commit([*[r for r in self.runs if r[0] != full], (full + 1, folder)])
 
 
+def doubling_bounds(docs: DataFrame, batches: int) -> list[int]:
+    """Split points of doc_id into ``batches`` of which each holds about twice the one before."""
+    parts = 2**batches - 1
+    if batches < 2:
+        return []
+    got = docs.approxQuantile("doc_id", [(2**k - 1) / parts for k in range(1, batches)], 0.1 / parts)
+    return sorted({int(x) for x in got})
+
+
 def lost_windows(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """(doc_id, w1) for the whole table, taken in ``batches`` of ascending doc_id.
 
-    ``corpus`` holds the texts of what ``index`` has already, if it has anything."""
+    ``corpus`` holds the texts of what ``index`` has already, if it has anything. An index made
+    here lives as long as the call."""
     spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
+    own = index is None
+    index = index or FingerprintIndex(spark, buckets=max(BUCKETS, -(-docs.count() // BUCKET_DOCUMENTS)))
     if index.runs and corpus is None:
         raise ValueError("the index has runs: the texts of indexed documents are needed")
-    bounds = range_bounds(docs.select("doc_id"), "doc_id", batches)
+    bounds = doubling_bounds(docs.select("doc_id"), batches)
     parts = []
     for k in range(len(bounds) + 1):
         inside = F.lit(True)
@@ -232,10 +288,9 @@ def lost_windows(docs: DataFrame, batches: int = BATCHES, index: FingerprintInde
             known = corpus.select("doc_id", "text")
             before = known if before is None else known.union(before)
         parts.append(index.append(docs.where(inside), before))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    if own:
+        remove(spark, index.path)
+    return reduce(DataFrame.union, parts)
 
 
 def covered(text: bytes, lost: np.ndarray) -> np.ndarray:
