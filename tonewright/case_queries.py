@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tonewright import seed
 from tonewright.functions import fuzzy, keyboards
 from tonewright.functions import text as tx
-from tonewright.operators import cases
+from tonewright.operators import cases, etl
 from tonewright.queries import _KEYS, HAN, HANGUL, KANA_HAN, Query, _bare, _derived_words, _initial, _values, _zhuyin_bare, whole_names, whole_names_sql
 
 QUERIES: dict[str, Query] = {}
@@ -190,8 +190,9 @@ def _fuzzy_sql(system: str, rule: str) -> str:
     )
 
 
-def _negative_sql(system: str, count: int = 20_000, seed_: int = 20260711) -> str:
+def _negative_sql(system: str, count: int = 20_000, seed_: int = 20260711, most: int | None = None) -> str:
     letters, longest = cases.letters_of(system)
+    longest = most or longest
     drawn = lambda k, n: f"(CAST('0x' || left(md5(concat_ws('|', id, {seed_}, {k})), 8) AS BIGINT) % {n})"
     entry = _text("U+AC00" if system == "korean" else None)
     rows = f"SELECT DISTINCT input, '' AS expected, 0 AS expectedTotal, {entry} AS sourceEntry, {_text(None)} AS sourceText FROM drawn WHERE input NOT IN (SELECT input FROM u)"
@@ -289,3 +290,18 @@ for _s, _r in itertools.chain.from_iterable([(s, r) for r in fuzzy.rules_for(s)]
     _name = "cases_fuzzy" if (_s, _r) == ("mandarin", "FUZZY_ZH_Z") else f"cases_{_r.lower()}_{_s}"
     _add(_name, _cases(lambda w, r, s=_s, rule=_r: cases.fuzzy_cases(r, s, rule)), _fuzzy_sql(_s, _r))
 _add("cases_scenarios", _cases(lambda w, r: cases.scenario_cases(w, r)), _scenario_sql())
+
+
+def _korean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of two lists, the second with words of the first and single characters."""
+    word = lambda df, source: df.select(F.lit("korean").alias("system"), tx.to_codepoints(F.col("name")).alias("cps"), F.col("name").alias("text"), F.array(F.struct(F.col("name").alias("normalized"), F.col("name").alias("syllable"))).alias("readings"), F.lit(source).alias("source"))
+    n = whole_names(spark, sf_dir, HANGUL, 4)
+    first, second = word(n.where("id % 3 > 0"), "b-list"), word(n.withColumn("name", F.when(F.col("id") % 7 == 0, F.substring("name", -1, 1)).otherwise(F.col("name"))), "a-list")
+    return etl.rebuilt_korean([seed.hangul(spark)], [first, second])[1].select("text", "source", F.size("cps").alias("chars"))
+
+
+_add("korean_rebuild", _korean, f"""
+WITH n AS ({whole_names_sql(HANGUL, 4)}), w AS (SELECT name, 0 AS turn, 'b-list' AS source FROM n WHERE id % 3 > 0
+  UNION ALL SELECT CASE WHEN id % 7 = 0 THEN right(name, 1) ELSE name END, 1, 'a-list' FROM n)
+SELECT name AS text, arg_min(source, turn) AS source, CAST(length(name) AS INTEGER) AS chars FROM w WHERE length(name) >= 2 GROUP BY name""")
+_add("cases_negative_korean_long", _cases(lambda w, r: cases.negative_cases(r, "korean", 20_000, 20260714, longest=5)), _negative_sql("korean", 20_000, 20260714, 5))

@@ -125,9 +125,10 @@ def fuzzy_cases(readings: DataFrame, system: str, rule: str) -> DataFrame:
 _LETTERS = {"zhuyin": "ㄅㄆㄇㄈㄉㄊㄋㄌㄍㄎㄏㄐㄑㄒㄓㄔㄕㄖㄗㄘㄙㄧㄨㄩㄚㄛㄜㄝㄞㄟㄠㄡㄢㄣㄤㄥㄦ", "korean": "abcdefghijklmnopqrstuvwxyzQWERTOP"}
 
 
-def drawn_inputs(spark, system: str, count: int, seed: int) -> DataFrame:
+def drawn_inputs(spark, system: str, count: int, seed: int, longest: int | None = None) -> DataFrame:
     """``count`` strings of letters drawn by MD5, of two to four letters (Bopomofo: three)."""
-    letters, longest = letters_of(system)
+    letters, own = letters_of(system)
+    longest = longest or own
     drawn = lambda k, n: F.conv(F.substring(F.md5(F.concat_ws("|", "id", F.lit(seed), k).cast("binary")), 1, 8), 16, 10).cast("long") % n
     size = drawn(F.lit(0), longest - 1) + 2
     pick = lambda i: F.substring(F.lit(letters), (drawn(i, len(letters)) + 1).cast("int"), F.lit(1))
@@ -146,9 +147,9 @@ def prefix_universe(readings: DataFrame, system: str) -> DataFrame:
     return forms.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s")), lambda n: F.substring(F.col("s"), F.lit(1), n))).alias("input")).distinct()
 
 
-def negative_cases(readings: DataFrame, system: str, count: int = 20_000, seed: int = 20260711) -> DataFrame:
+def negative_cases(readings: DataFrame, system: str, count: int = 20_000, seed: int = 20260711, longest: int | None = None) -> DataFrame:
     """Drawn inputs that start no reading: an anti-join on the readings' prefixes."""
-    free = drawn_inputs(readings.sparkSession, system, count, seed).distinct().join(prefix_universe(readings, system), "input", "left_anti")
+    free = drawn_inputs(readings.sparkSession, system, count, seed, longest).distinct().join(prefix_universe(readings, system), "input", "left_anti")
     rows = free.select("input", F.array().cast("array<string>").alias("expected"), F.lit(0).alias("expectedTotal"), F.lit("U+AC00" if system == "korean" else None).cast("string").alias("sourceEntry"))
     return _case(rows, f"{system.upper()}-NEG", system, "CHAR", "CONTAINS", _keyboard(system), "FULL", polarity="NEGATIVE")
 
@@ -252,6 +253,18 @@ def scenario_cases(words: DataFrame, readings: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [m(own) for m in makers])
 
 
+def korean_cases(words: DataFrame, readings: DataFrame, count: int = 20_000) -> DataFrame:
+    """All cases of the Korean tables alone: characters, words, and negatives of up to five keys."""
+    parts = [char_cases(readings, "korean", ("FULL", "PARTIAL")), word_cases(words, readings, "korean")]
+    return reduce(DataFrame.unionByName, [*parts, negative_cases(readings, "korean", count, 20260714, longest=5)])
+
+
+def write_regression(words: DataFrame, readings: DataFrame, path: str) -> None:
+    """Make the curated scenarios anew and nothing else: a folder of JSON lines for each kind."""
+    kind = F.regexp_extract("id", "^(.*)-[0-9a-f]{16}\\z", 1)
+    scenario_cases(words, readings).withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").json(path)
+
+
 def all_cases(words: DataFrame, readings: DataFrame) -> DataFrame:
     """Every kind of case; systems without tones have no toned ones."""
     out = [char_cases(readings, s) for s in ("mandarin", "cantonese", "zhuyin")]

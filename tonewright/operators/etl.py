@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions import romanize
 from tonewright.functions import text as tx
-from tonewright.model import READINGS
+from tonewright.model import READINGS, WORDS
 
 
 def merge_sources(*sources: DataFrame) -> DataFrame:
@@ -83,6 +85,21 @@ def first_words(words: DataFrame) -> DataFrame:
     return words.groupBy("system", "cps", "text").agg(F.min(row).alias("row")).select(*[F.col("row")[c].alias(c) for c in words.columns])
 
 
+def rebuilt_korean(chars: list[DataFrame], words: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The Korean tables anew: (readings, words).
+
+    Readings are the union of the sources, in their order, one row for each reading of a code
+    point. Words are told apart by code points and sound; of equal ones the first source's stays,
+    and words of a single character go.
+    """
+    readings = upsert(merge_sources(*chars))
+    turned = [w.select(*WORDS.names).withColumn("turn", F.lit(k)) for k, w in enumerate(words)]
+    every = reduce(DataFrame.unionByName, turned).where("system = 'korean' AND size(cps) >= 2")
+    row = F.struct("turn", "source", "readings")
+    one = every.groupBy("system", "cps", "text").agg(F.min(row).alias("row"))
+    return readings, one.select("system", "cps", "text", "row.readings", "row.source")
+
+
 def inverted_index(pairs: DataFrame, key: str = "key", surface: str = "surface") -> DataFrame:
     """(surface, keys): sorted different keys of each surface."""
     return pairs.groupBy(surface).agg(F.array_sort(F.collect_set(key)).alias("keys"))

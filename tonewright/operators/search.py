@@ -67,6 +67,8 @@ def name_index(engine: Engine, names: DataFrame, options: Options) -> DataFrame:
 
 #: Prefixes of queries up to which their table is sent to every task; more are joined by shuffle.
 SENT_PREFIXES = 200_000
+#: Keys of names (characters, or in precise mode characters of words) up to which theirs is.
+SENT_KEYS = 200_000
 #: Steps after which equal spellings of a name are merged.
 MERGE_STEPS = 4
 
@@ -79,8 +81,8 @@ def search_batch(engine: Engine, names: DataFrame, queries: DataFrame, options:
     character with its typed forms, and the spelling with the queries' prefixes. So work follows
     the spellings that lead somewhere, never names times queries, and there are as many steps as
     the longest query or name has characters. Found spellings pass through later steps as they
-    are, so that all steps are one plan. The index of characters is bounded by the code points
-    there are, and is sent to every task; the prefixes are while they are few.
+    are, so that all steps are one plan. The index of characters and the prefixes are sent to every
+    task while they are counted to be few, and joined by shuffle beyond.
     """
     queries = queries.select("qid", "query")
     named = names.select("id", "name")
@@ -93,7 +95,9 @@ def search_batch(engine: Engine, names: DataFrame, queries: DataFrame, options:
     prefix = F.transform(F.sequence(F.lit(1), F.length("query")), lambda n: F.struct(cut(F.col("query"), n).alias("spelt"), (n == F.length("query")).alias("whole")))
     targets = texts.select(F.inline(prefix)).groupBy("spelt").agg(F.max("whole").alias("whole"))
     targets = F.broadcast(targets) if total <= SENT_PREFIXES else targets
-    index = F.broadcast(name_index(engine, named, options))
+    index = name_index(engine, named, options)
+    if index.count() <= SENT_KEYS:
+        index = F.broadcast(index)
     keys = forced_keys(F.col("name"), options) if options.polyphone is PolyphoneMode.PRECISE else tx.chars(F.col("name"))
     spelt = named.where("name <> ''").select("id", keys.alias("keys"))
     if mode is MatchMode.EXACT:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewright.functions import fuzzy, keyboards
 from tonewright.functions import text as tx
+from tonewright.model import SYSTEMS, AbbrevPolicy, MatchMode, Options, TonePolicy
+from tonewright.operators.engine import Engine
+from tonewright.operators.search import search_batch
 
 #: Least numbers of characters and words of a full build, and of cases and syllables.
 MIN_CHARS = {"mandarin": 40_000, "cantonese": 28_000, "zhuyin": 40_000, "japanese": 10_000, "korean": 18_000}
@@ -61,11 +66,46 @@ def lost_sources(cases: DataFrame) -> DataFrame:
     return cases.where("polarity = 'POSITIVE' AND NOT array_contains(expected, sourceEntry)").select("id")
 
 
-def report(readings: DataFrame, words: DataFrame, cases: DataFrame, rate: float = 0.0) -> DataFrame:
-    """All checks in one table (check, value, ok)."""
+def options_of(system: str, keyboard: str, variant: str, fuzzies: tuple[str, ...]) -> Options | None:
+    """The options that a case is matched under; None for cases of several systems."""
+    if system.lower() not in SYSTEMS:
+        return None
+    return Options(
+        SYSTEMS[system.lower()], keyboard=keyboards.by_name(keyboard), fuzzies=fuzzies,
+        abbrev=AbbrevPolicy.INITIALS if variant == "ABBREV" else AbbrevPolicy.OFF, tone=TonePolicy.STRICT if variant == "TONED" else TonePolicy.IGNORE,
+    )
+
+
+def failing_samples(cases: DataFrame, engine: Engine, each: int = 30) -> DataFrame:
+    """Of ``each`` positive cases of every kind, drawn by their ids' hash, those whose own entry the
+    engine doesn't find: (id, input). A kind is a case's system, level, mode, keyboard, variant and
+    rules; each is one batch search of its inputs in its entries' texts."""
+    kind = ["system", "level", "mode", "keyboard", "variant", "rules"]
+    own = cases.where("polarity = 'POSITIVE'").withColumn("rules", F.array_join("fuzzies", ","))
+    turn = F.row_number().over(Window.partitionBy(*kind).orderBy(F.md5(F.col("id").cast("binary")), "id"))
+    cps = F.transform(F.split("sourceEntry", ","), tx.parse_codepoint)
+    drawn = own.withColumn("turn", turn).where(F.col("turn") <= each).select("id", "input", *kind, F.coalesce("sourceText", tx.from_codepoints(cps)).alias("name")).cache()
+    bad = []
+    for k in drawn.select(*kind).distinct().collect():  # as many as kinds of cases
+        options = options_of(k.system, k.keyboard, k.variant, tuple(r for r in k.rules.split(",") if r))
+        if options is None:
+            continue
+        some = drawn.where(reduce(lambda a, b: a & b, [F.col(c) == k[c] for c in kind])).select(F.row_number().over(Window.orderBy("id")).cast("long").alias("n"), "id", "input", "name")
+        hits = search_batch(engine, some.select(F.col("n").alias("id"), "name"), some.select(F.col("n").alias("qid"), F.col("input").alias("query")), options, MatchMode[k.mode])
+        bad.append(some.join(hits.where("qid = id").select(F.col("id").alias("n")), "n", "left_anti").select("id", "input"))
+    return reduce(DataFrame.union, bad) if bad else drawn.select("id", "input").limit(0)
+
+
+def report(readings: DataFrame, words: DataFrame, cases: DataFrame, rate: float = 0.0, manifest: DataFrame | None = None, listed: DataFrame | None = None, engine: Engine | None = None) -> DataFrame:
+    """All checks in one table (check, value, ok); files are checked if a manifest and the
+    listed paths are given, sampled cases if an engine is."""
     count = lambda df, name: _check(df.agg(F.count(F.lit(1)).alias("n")), name, F.col("n"), F.col("n") == 0)
     out = row_minimums(readings, words)
     out = out.union(count(bad_tones(readings), "bad-tones")).union(count(unreachable_fuzzy(cases, readings), "unreachable-fuzzy")).union(count(lost_sources(cases), "lost-sources"))
+    if manifest is not None:
+        out = out.union(count(missing_files(manifest, listed), "missing-files"))
+    if engine is not None:
+        out = out.union(count(failing_samples(cases, engine), "failing-samples"))
     out = out.union(_check(keymap_gaps(readings), F.concat(F.lit("keymap-"), "scheme"), F.col("syllables"), F.col("syllables") >= MIN_SYLLABLES))
     out = out.union(_check(cases.agg(F.count(F.lit(1)).alias("n")), "cases", F.col("n"), F.col("n") >= MIN_CASES))
     return out.union(_check(readings.sparkSession.range(1), "cross-check", F.lit(rate), F.lit(rate <= MAX_DISAGREEMENT)))

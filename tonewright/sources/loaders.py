@@ -217,3 +217,33 @@ def char_rows(spark: SparkSession, rows: list[tuple[str, int, list[str]]], syste
     """Readings given in the program: (character, ...) as (char, _, readings)."""
     df = spark.createDataFrame([(c, list(r)) for c, _, r in rows], "c string, r array<string>")
     return _readings(df.select(F.ascii("c").alias("cp"), F.posexplode("r").alias("ord", "n")), system.name, F.col("n"), system.tones)
+
+
+def word_rows(spark: SparkSession, rows: list[tuple[str, list[str]]], system: PhoneticSystem = MANDARIN) -> DataFrame:
+    """Words given in the program: (text, readings)."""
+    df = spark.createDataFrame([(t, list(r)) for t, r in rows], "text string, r array<string>")
+    return df.select(F.lit(system.name).alias("system"), tx.to_codepoints(F.col("text")).alias("cps"), "text", _spoken(F.col("r"), system).alias("readings"), F.lit("program").alias("source"))
+
+
+def word_table(spark: SparkSession, path: str, system: PhoneticSystem) -> DataFrame:
+    """Words of a word table: code points, text, readings shown and normalized, source."""
+    rows = lines(spark, path).where(F.size(F.split("value", "\t", -1)) >= 4)
+    cps, r = tx.parse_codepoints(F.trim(_column(0))), F.filter(F.split(F.trim(_column(3)), " +"), lambda x: x != "")
+    found = rows.select(F.lit(system.name).alias("system"), cps.alias("cps"), F.trim(_column(1)).alias("text"), _spoken(r, system).alias("readings"), F.coalesce(_column(4), F.lit("")).alias("source"))
+    return found.where("cps IS NOT NULL AND size(readings) > 0")
+
+
+def _spoken(readings: Column, system: PhoneticSystem) -> Column:
+    return F.transform(readings, lambda n: F.struct(n.alias("normalized"), tx.strip_tone(n, system.tones).alias("syllable")))
+
+
+def last_wins(tables: list[DataFrame], key: tuple[str, ...]) -> DataFrame:
+    """The union of tables in which a key's rows come from the last table that has the key."""
+    ranked = None
+    for k, t in enumerate(tables):
+        part = t.withColumn("_turn", F.lit(k))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    if len(tables) == 1:
+        return ranked.drop("_turn")
+    last = ranked.groupBy(*key).agg(F.max("_turn").alias("_turn"))
+    return ranked.join(last, [*key, "_turn"]).select(*tables[0].columns)

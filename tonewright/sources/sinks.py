@@ -57,8 +57,10 @@ def golden_rows(readings: DataFrame, system: str) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str) -> None:
-    """One ordered text file: these tables are dictionaries, bounded by the script."""
-    df.coalesce(1).write.mode("overwrite").text(path)
+    """One ordered text file: these tables are dictionaries, bounded by the script. Lines are made
+    in parallel; only finished ones meet in the task that writes them."""
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    numbered.repartition(1).sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path)
 
 
 def write_keymaps(readings: DataFrame, path: str) -> None:
