@@ -6,6 +6,7 @@ exactly the ASCII white space ``\\x20 \\x09-\\x0D`` that the word contracts name
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -58,6 +59,24 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a bucket, and the least number of buckets.
+BUCKET_ROWS, BUCKETS = 20_000, 16
+
+
+def bucketed(df: DataFrame, label: str, column: str, rows: int) -> DataFrame:
+    """``saved``, dealt to buckets by a column of evenly spread values: joins on it don't shuffle
+    this side again. ``rows`` is about how many there are."""
+    spark = df.sparkSession
+    n = max(BUCKETS, -(-rows // BUCKET_ROWS))
+    name = f"tonewright_{uuid.uuid4().hex}"
+    writer = df.repartition(n, column).write.format("parquet").bucketBy(n, column)
+    with bounded_batches(spark):
+        writer.option("path", fresh_path(spark, label)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan that is bound to them
+    return out
+
+
 @contextmanager
 def bounded_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of ``ARROW_ROWS`` rows at most while a table is written; then the caller's
@@ -103,8 +122,16 @@ def arrow_map(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
 ) -> DataFrame:
-    """``mapInArrow``; ``fn`` takes its batches apart with ``slices``."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``; ``fn`` takes its batches apart with ``slices``. Workers serve many tasks: what
+    a task has freed goes back to the system at its end, or executors would hold every stage's peak."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from tonewright.llm.common import arrow_map, raw, slices, tokenizer_path
 
 MARK = "▁"
 #: Runs in each of the two halves of a Python worker's memory.
-CACHE_RUNS = 350_000
+CACHE_RUNS = 250_000
 #: Characters whose agendas are worked off together.
 AGENDA_CHARS = 500_000
 #: An agenda's entry of a pair that makes no piece.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, forget, raw, saved, slices
+from tonewright.llm.common import arrow_map, bucketed, forget, raw, saved, slices
 from tonewright.llm.graph import components
 
 SEED = 42
@@ -321,13 +321,13 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     Null and empty texts have the empty set, all alike. A very long text's set is taken in parts.
     """
     sketches = saved(_sketches(docs.where("doc_id IS NOT NULL"), words), "sketches")
-    # a node is a set of shingles, named by its hash; its least document stands for it
-    nodes = sketches.groupBy("whole").agg(F.min("doc_id").alias("least"))
-    firsts = sketches.join(nodes, "whole").where("doc_id = least").dropDuplicates(["whole"])
-    firsts = saved(firsts.select(F.col("whole").alias("node"), "fp", "subs", "size", "parity", "shingles"), "nodes")
     members = saved(sketches.select("doc_id", "whole"), "members")
-    forget(sketches)
+    # a node is a set of shingles, named by its hash; its least document stands for it. Both keys
+    # deal the rows, so a set that a third of the documents have is no hot key
     nodes = members.groupBy("whole").agg(F.min("doc_id").alias("least"))
+    firsts = sketches.join(nodes.withColumnRenamed("least", "doc_id"), ["whole", "doc_id"]).dropDuplicates(["whole", "doc_id"])
+    firsts = bucketed(firsts.select(F.col("whole").alias("node"), "fp", "subs", "size", "parity", "shingles"), "nodes", "node", members.count())
+    forget(sketches)
     close = links(firsts.select("fp").distinct())
     by_fp = firsts.groupBy("fp").agg(F.min("node").alias("node"))
     near = close.join(by_fp.toDF("a", "na"), "a").join(by_fp.toDF("b", "nb"), "b").select(*_ordered("na", "nb"))
@@ -347,8 +347,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     found = []
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # a head is in many pairs: it is joined first, while rows are two numbers
-        both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+        # sets lie in buckets by node and stay there; a head may be in a third of all pairs, so the
+        # heads' sets, few, are dealt anew, and Spark splits the join where it is skewed
+        heads = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node")
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(heads.toDF("b", "sb"), "b")
         found.append(saved(arrow_map(both, run, "a long, b long"), "links"))
         forget(pairs)
         return found[-1]

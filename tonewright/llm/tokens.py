@@ -28,7 +28,7 @@ import numpy as np
 from tonewright.llm.common import tokenizer_path
 
 #: Chunks in each of the two halves of a Python worker's memory.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 250_000
 #: Chunks that are joined to one text for the library.
 JOINED = 500
 
