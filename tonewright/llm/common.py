@@ -59,19 +59,13 @@ def saved(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a bucket, and the least number of buckets.
-BUCKET_ROWS, BUCKETS = 20_000, 16
-
-
-def bucketed(df: DataFrame, label: str, column: str, rows: int) -> DataFrame:
-    """``saved``, dealt to buckets by a column of evenly spread values: joins on it don't shuffle
-    this side again. ``rows`` is about how many there are."""
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """``saved``, in as many buckets as the session has shuffle partitions, by a column of evenly
+    spread values that ``df`` is dealt by already: joins on it don't shuffle this side again."""
     spark = df.sparkSession
-    n = max(BUCKETS, -(-rows // BUCKET_ROWS))
     name = f"tonewright_{uuid.uuid4().hex}"
-    writer = df.repartition(n, column).write.format("parquet").bucketBy(n, column)
     with bounded_batches(spark):
-        writer.option("path", fresh_path(spark, label)).saveAsTable(name)
+        df.write.format("parquet").bucketBy(parts_for(spark), column).option("path", fresh_path(spark, label)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan that is bound to them
     return out

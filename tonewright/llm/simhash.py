@@ -322,11 +322,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     """
     sketches = saved(_sketches(docs.where("doc_id IS NOT NULL"), words), "sketches")
     members = saved(sketches.select("doc_id", "whole"), "members")
-    # a node is a set of shingles, named by its hash; its least document stands for it. Both keys
-    # deal the rows, so a set that a third of the documents have is no hot key
     nodes = members.groupBy("whole").agg(F.min("doc_id").alias("least"))
-    firsts = sketches.join(nodes.withColumnRenamed("least", "doc_id"), ["whole", "doc_id"]).dropDuplicates(["whole", "doc_id"])
-    firsts = bucketed(firsts.select(F.col("whole").alias("node"), "fp", "subs", "size", "parity", "shingles"), "nodes", "node", members.count())
+    # a node is a set of shingles, named by its hash. Copies are put together before the shuffle;
+    # they differ in their fingerprint at most, as that counts repeated shingles
+    same = [F.first(c).alias(c) for c in ("subs", "size", "parity", "shingles")]
+    firsts = sketches.groupBy(F.col("whole").alias("node")).agg(F.min("fp").alias("fp"), *same)
+    firsts = bucketed(firsts, "nodes", "node")
     forget(sketches)
     close = links(firsts.select("fp").distinct())
     by_fp = firsts.groupBy("fp").agg(F.min("node").alias("node"))
