@@ -36,7 +36,7 @@ from tonewright.llm.common import arrow_map, raw, slices, tokenizer_path
 
 MARK = "▁"
 #: Runs in each of the two halves of a Python worker's memory.
-CACHE_RUNS = 250_000
+CACHE_RUNS = 350_000
 #: Characters whose agendas are worked off together.
 AGENDA_CHARS = 500_000
 #: An agenda's entry of a pair that makes no piece.
@@ -194,14 +194,15 @@ class PieceCodec:
 
     def _learn(self, runs: set[bytes]) -> None:
         """Put these runs into the memory; new ones are held against the library's ids."""
-        if len(self.cache) + len(runs) > self.cache_runs:
-            self.older, self.cache = self.cache, {}
+        lacking = [r for r in runs if r not in self.cache]
+        if len(self.cache) + len(lacking) > self.cache_runs:
+            self.older, self.cache, lacking = self.cache, {}, runs
         cache, older = self.cache, self.older
         new = []
-        for r in runs:
+        for r in lacking:
             if r in older:
                 cache[r] = older[r]
-            elif r not in cache:
+            else:
                 new.append(r)
         if not new:
             return

@@ -28,7 +28,7 @@ import numpy as np
 from tonewright.llm.common import tokenizer_path
 
 #: Chunks in each of the two halves of a Python worker's memory.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000
 #: Chunks that are joined to one text for the library.
 JOINED = 500
 
@@ -74,14 +74,15 @@ class ChunkEncoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Put these chunks into the memory."""
-        if len(self.fresh) + len(chunks) > CACHE_CHUNKS:
-            self.older, self.fresh = self.fresh, {}
+        lacking = [c for c in chunks if c not in self.fresh]
+        if len(self.fresh) + len(lacking) > CACHE_CHUNKS:
+            self.older, self.fresh, lacking = self.fresh, {}, chunks
         fresh, older = self.fresh, self.older
         plain, plain_texts, other = [], [], []
-        for c in chunks:
+        for c in lacking:
             if c in older:
                 fresh[c] = older[c]
-            elif c not in fresh:
+            else:
                 text = c.decode()
                 if text.isspace() or "\x01" in text:
                     other.append(c)
