@@ -226,3 +226,22 @@ def test_shards_take_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.ids_crc32) for r in got.collect()) == Counter((d, zlib.crc32(packed([*lib(t), 2]))) for d, t in rows)
     last = got.orderBy(F.desc("start")).first()
     assert last.start + last.n_tokens == sum(len(lib(t)) + 1 for _, t in rows)
+
+
+def test_lost_ends_change_nothing(pair):
+    """Parts whose ids don't end with their chunks are joined with marks instead."""
+    own, lib = pair
+    texts = ["some words, Words 12 it's", "é É H̱ n\x01o  x y", " “quoted”  \x1c \x85a", "a" * 3000 + " b\n\nc"]
+    want = [packed(lib(t)) for t in texts]
+    assert own.encode_all([t.encode() for t in texts]) == want
+    broken = ChunkEncoder.__new__(ChunkEncoder)
+    broken.__dict__.update(own.__dict__ | {"sizes": own.sizes * 0, "fresh": {}, "older": {}})
+    assert broken.encode_all([t.encode() for t in texts]) == want
+
+
+def test_texts_lie_apart(pair):
+    own, lib = pair
+    texts = ["", "ab", "", "cd ", " ef", "\n", "gh\n", "", "ij", ""]
+    assert own.encode_all([t.encode() for t in texts]) == [packed(lib(t)) for t in texts]
+    assert own.encode_all([]) == []
+    assert own.encode_all([b"", b""]) == [b"", b""]

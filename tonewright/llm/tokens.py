@@ -5,16 +5,19 @@ opens the next token), so a text is cut into chunks there, and a chunk's ids are
 little-endian unsigned 32-bit bytes. A text where white space meets white space is cut by the
 pattern itself.
 
-The tokenizers library encodes every chunk, once in the memory's life: all new chunks of a slice
-of texts are joined, with a mark of a known id before each, and its ids are cut at that mark's. If
-the marks don't come out in the number they went in, the library takes the chunks one by one. So
-ids depend on no earlier text.
+The tokenizers library encodes every chunk, once in the memory's life: new chunks of a slice of
+texts are joined as they would stand in a text, and its ids are cut where the bytes that they stand
+for end a chunk. Chunks that can't be joined so, and parts whose ids don't end with their chunks,
+are joined with a mark of a known id before each; if the marks don't come out in the number they
+went in, the library takes the chunks one by one. So ids depend on no earlier text.
 
 The string of an added token inside a text is that token, as the library has it by default; the
 library takes such a text whole. With ``special_as_text`` these strings are ordinary text.
 
-The empty text has no ids. A very long text is cut like any other: beside the text its chunks and
-ids are held once.
+Chunks are told apart and ids gathered in arrays; Python touches each different chunk of a slice once.
+
+The empty text has no ids. A very long text is cut like any other: its chunks and ids are held once,
+as arrays of about 20 bytes for each of its bytes at most.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from tonewright.llm.common import tokenizer_path
 
@@ -35,7 +39,7 @@ JOINED = 500
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Where one of these stands, white space may meet white space.
-_MEETING = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\0")
+_MEETING = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _ODD = re.compile(rb"\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80")
 
 
@@ -54,6 +58,12 @@ class ChunkEncoder:
         self.by_word = not self._ask("\n")
         self.mark = " \x01 " if self.by_word else "\n"
         (self.mark_id,) = self._ask(self.mark)
+        suffix = self.library.model.end_of_word_suffix or ""
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        #: Bytes of normal text that each id stands for; each character of a token is one.
+        self.sizes = np.zeros(self.library.get_vocab_size() + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
         self.fresh: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -72,43 +82,110 @@ class ChunkEncoder:
         ends = [*(4 * marks[1:]).tolist(), len(data)]
         return [data[a:b] for a, b in zip((4 * marks + 4).tolist(), ends, strict=True)]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Put these chunks into the memory."""
+    def _joined(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks that may follow each other in a text as they are, or as words."""
+        space = b" " if self.by_word else b""
+        out: list[bytes] = []
+        for i in range(0, len(chunks), JOINED):
+            part = chunks[i : i + JOINED]
+            text = space.join(part).decode()
+            (got,) = self.library.encode_batch_fast([text], add_special_tokens=False)  # one at a time: little memory
+            ids = np.array(got.ids, "<u4")
+            at = np.cumsum(self.sizes[ids])
+            normal = part
+            if self.library.normalizer is not None and not text.isascii():
+                normal = [w.encode() for w in self.library.normalizer.normalize_str(text).split(" ")]
+            ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)))
+            found = np.searchsorted(at, ends)
+            if len(normal) != len(part) or not len(at) or at[-1] != ends[-1] or (at[found] != ends).any():
+                out += self._together([c.decode() for c in part])
+                continue
+            data = ids.tobytes()
+            stops = (4 * found + 4).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905 - one start more
+        return out
+
+    def _joins(self, chunk: bytes) -> bool:
+        """Whether a text may hold this chunk between others of its kind without a change of its ids."""
+        if self.by_word:
+            return chunk.isascii() or not _ODD.search(chunk)
+        return chunk[0] == 32 and len(chunk) > 1 and chunk[1] > 32 and (chunk[1] < 128 or not _ODD.match(chunk, 1))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Put these chunks, no two of them equal, into the memory."""
         lacking = [c for c in chunks if c not in self.fresh]
         if len(self.fresh) + len(lacking) > CACHE_CHUNKS:
             self.older, self.fresh, lacking = self.fresh, {}, chunks
         fresh, older = self.fresh, self.older
-        plain, plain_texts, other = [], [], []
-        for c in lacking:
-            if c in older:
-                fresh[c] = older[c]
-            else:
+        if older:
+            fresh.update((c, older[c]) for c in lacking if c in older)
+            lacking = [c for c in lacking if c not in older]
+        new = lacking
+        # parts of ASCII alone are their own normal form but for case
+        for alike in ([c for c in new if c.isascii() and self._joins(c)], [c for c in new if not c.isascii() and self._joins(c)]):
+            fresh.update(zip(alike, self._joined(alike), strict=True))
+        plain, other = [], []
+        for c in new:
+            if c not in fresh:
                 text = c.decode()
-                if text.isspace() or "\x01" in text:
-                    other.append(c)
-                else:
-                    plain.append(c)
-                    plain_texts.append(text)
+                (other if text.isspace() or "\x01" in text else plain).append(text)
         if plain:
-            fresh.update(zip(plain, self._together(plain_texts), strict=True))
+            fresh.update(zip([t.encode() for t in plain], self._together(plain), strict=True))
         if other:
-            got = self.library.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)
-            fresh.update((c, _packed(g.ids)) for c, g in zip(other, got, strict=True))
-
-    def chunks(self, text: bytes) -> list[bytes]:
+            got = self.library.encode_batch_fast(other, add_special_tokens=False)
+            fresh.update((t.encode(), _packed(g.ids)) for t, g in zip(other, got, strict=True))
+
+    def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All chunks of these texts, and where each text's begin among them (and the last's end)."""
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        opens = np.append(np.int64(0), ends)  # of each text, and of nothing behind the last
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        first = np.unique(opens[opens < len(data)])
         if self.by_word:
-            return text.split()
-        if any(m in text for m in _MEETING) or _ODD.search(text):
-            return [c.encode() for c in _CHUNKS.findall(text.decode())]
-        return [c for c in text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if c]
+            space = (data == 32) | (data - np.uint8(9) <= 4)
+            begins = ~space
+            begins[1:] &= space[:-1]
+            begins[first] = ~space[first]
+            at = np.flatnonzero(begins)
+            begins, data = begins[~space], data[~space]
+            starts = np.flatnonzero(begins)
+        else:
+            lines = data == 10
+            begins = lines | (data == 32)
+            begins[1:] |= lines[:-1]
+            begins[first] = True
+            for k, t in enumerate(texts):
+                if any(m in t for m in _MEETING) or _ODD.search(t):
+                    begins[opens[k] : opens[k + 1]] = False
+                    sizes = [len(c.encode()) for c in _CHUNKS.findall(t.decode())]
+                    begins[opens[k] + np.cumsum([0, *sizes[:-1]])] = True
+            at = starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(data))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return chunks, np.searchsorted(at, opens)
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, four bytes each."""
         whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        cut = [[] if k in whole else self.chunks(t) for k, t in enumerate(texts)]
-        self._learn(set(chain.from_iterable(cut)))
-        fresh = self.fresh
-        out = [b"".join([fresh[c] for c in chunks]) for chunks in cut]
+        chunks, bounds = self._cut([b"" if k in whole else t for k, t in enumerate(texts)])
+        coded = chunks.dictionary_encode()
+        _, offsets, values = coded.dictionary.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(coded.dictionary) + 1).tolist()
+        values = values.to_pybytes() if values else b""
+        distinct = [values[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905 - one end more
+        self._learn(distinct)
+        held = list(map(self.fresh.__getitem__, distinct))
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) >> 2
+        which = coded.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        # the ids of the chunk at hand follow one another in the memory's; where its first one stands
+        base = (np.cumsum(sizes) - sizes)[which] - (ends - lengths)
+        picked = np.arange(ends[-1] if len(ends) else 0)
+        picked += np.repeat(base, lengths)
+        data = np.frombuffer(b"".join(held), "<u4")[picked].tobytes()
+        stops = (4 * np.append(0, ends)[bounds]).tolist()
+        out = [data[a:b] for a, b in zip(stops, stops[1:])]  # noqa: B905 - one start more
         for k in whole:
             out[k] = _packed(self._ask(texts[k].decode()))
         return out
