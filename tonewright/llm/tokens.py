@@ -1,9 +1,9 @@
 """Token ids of byte-level BPE vocabularies, chunk by chunk with a memory.
 
 The pre-tokenizers of these vocabularies never join text across white space (a space at most
-opens the next token), so a text is cut into chunks there, and a chunk's ids are remembered as
-little-endian unsigned 32-bit bytes. A text where white space meets white space is cut by the
-pattern itself.
+opens the next token), nor a letter or digit with a sign behind it, so a text is cut into chunks
+there, and a chunk's ids are remembered as little-endian unsigned 32-bit bytes. A text where white
+space meets white space is cut there by the pattern itself.
 
 The tokenizers library encodes every chunk, once in the memory's life: new chunks of a slice of
 texts are joined as they would stand in a text, and its ids are cut where the bytes that they stand
@@ -43,6 +43,23 @@ _MEETING = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _ODD = re.compile(rb"\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+#: Kinds of bytes: white space; letters and digits of ASCII; its signs but for the apostrophe, which may
+#: belong to letters behind it; the first byte of U+00C0 to U+00FF, and second ones that make a letter.
+_OTHER, _LINE, _BLANK, _WORD, _SIGN, _LEAD, _LATIN = range(7)
+
+
+def _kind(byte: int) -> int:
+    char = chr(byte)
+    if byte >= 128:
+        return _LEAD if byte == 0xC3 else _LATIN if byte < 0xC0 and byte not in (0x97, 0xB7) else _OTHER
+    if char in " \t\n\r\x0b\x0c":
+        return _LINE if char == "\n" else _BLANK
+    return _WORD if char.isalnum() else _SIGN if 32 < byte < 127 and char != "'" else _OTHER
+
+
+_KINDS = bytes(map(_kind, range(256)))
+
+
 class ChunkEncoder:
     """Ids of whole texts under one tokenizers file."""
 
@@ -105,11 +122,12 @@ class ChunkEncoder:
             out += [data[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905 - one start more
         return out
 
-    def _joins(self, chunk: bytes) -> bool:
-        """Whether a text may hold this chunk between others of its kind without a change of its ids."""
+    def _joining(self, chunks: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """The chunks that a text may hold between others of their kind without a change of their ids:
+        those whose bytes are their normal form's but for case, and the others."""
         if self.by_word:
-            return chunk.isascii() or not _ODD.search(chunk)
-        return chunk[0] == 32 and len(chunk) > 1 and chunk[1] > 32 and (chunk[1] < 128 or not _ODD.match(chunk, 1))
+            return [c for c in chunks if c.isascii()], [c for c in chunks if not c.isascii() and not _ODD.search(c)]
+        return [c for c in chunks if c[0] == 32 and len(c) > 1 and c[1] > 32 and (c[1] < 128 or not _ODD.match(c, 1))], []
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Put these chunks, no two of them equal, into the memory."""
@@ -121,9 +139,11 @@ class ChunkEncoder:
             fresh.update((c, older[c]) for c in lacking if c in older)
             lacking = [c for c in lacking if c not in older]
         new = lacking
-        # parts of ASCII alone are their own normal form but for case
-        for alike in ([c for c in new if c.isascii() and self._joins(c)], [c for c in new if not c.isascii() and self._joins(c)]):
+        groups = self._joining(new)
+        for alike in groups:
             fresh.update(zip(alike, self._joined(alike), strict=True))
+        if sum(map(len, groups)) == len(new):
+            return
         plain, other = [], []
         for c in new:
             if c not in fresh:
@@ -139,24 +159,31 @@ class ChunkEncoder:
         """All chunks of these texts, and where each text's begin among them (and the last's end)."""
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         opens = np.append(np.int64(0), ends)  # of each text, and of nothing behind the last
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        whole = b"".join(texts)
+        data, kinds = np.frombuffer(whole, np.uint8), np.frombuffer(whole.translate(_KINDS), np.uint8)
         first = np.unique(opens[opens < len(data)])
+        worded = kinds == _WORD
+        worded[1:] |= (kinds[:-1] == _LEAD) & (kinds[1:] == _LATIN)
+        peeled = kinds == _SIGN
+        peeled[1:] &= worded[:-1]
         if self.by_word:
-            space = (data == 32) | (data - np.uint8(9) <= 4)
+            space = (kinds == _LINE) | (kinds == _BLANK)
             begins = ~space
             begins[1:] &= space[:-1]
             begins[first] = ~space[first]
+            begins |= peeled
             at = np.flatnonzero(begins)
             begins, data = begins[~space], data[~space]
             starts = np.flatnonzero(begins)
         else:
             lines = data == 10
-            begins = lines | (data == 32)
+            begins = lines | (data == 32) | peeled
             begins[1:] |= lines[:-1]
             begins[first] = True
             for k, t in enumerate(texts):
                 if any(m in t for m in _MEETING) or _ODD.search(t):
-                    begins[opens[k] : opens[k + 1]] = False
+                    here = slice(opens[k], opens[k + 1])
+                    begins[here] = peeled[here]
                     sizes = [len(c.encode()) for c in _CHUNKS.findall(t.decode())]
                     begins[opens[k] + np.cumsum([0, *sizes[:-1]])] = True
             at = starts = np.flatnonzero(begins)
