@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -156,6 +157,45 @@ def test_history_is_merged_in_place(spark, tmp_path):
     assert {(r.hash, r.doc_id) for r in held} == whole
 
 
+def _shuffled(spark):
+    """Names of the shuffle files that lie on disk."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (held.apply(k).getName() for k in range(held.size())) if re.fullmatch(r"shuffle_\d+_\d+_\d+\.data", f)}
+
+
+def test_shuffle_files_go_with_their_statement(spark, tmp_path, monkeypatch):
+    """They don't wait for the driver to collect its garbage; the setting is the caller's again at the end."""
+    rows = sorted((r for r in shared(8) if r[0] is not None), key=lambda r: r[0])
+    docs = documents(fx.table(spark, rows)).cache()
+    docs.count()
+    old, new = docs.where("doc_id < 400"), docs.where("doc_id >= 400")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    left = []
+
+    def watched(statement):
+        def run(*args, **more):
+            before = _shuffled(spark)
+            out = statement(*args, **more)
+            for _ in range(50):
+                if not (stay := _shuffled(spark) - before):
+                    break
+                time.sleep(0.1)
+            left.append((spark.conf.get(name), stay))
+            return out
+
+        return run
+
+    monkeypatch.setattr(si, "saved", watched(si.saved))
+    monkeypatch.setattr(si.FingerprintIndex, "_write", watched(si.FingerprintIndex._write))
+    index = si.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    index.append(old)
+    lost = index.append(new, old)
+    assert left == [("true", set())] * 9  # four statements a batch, and one that compacts
+    assert spark.conf.get(name) == setting
+    assert lost.count() > 0
+
+
 def test_rows_read_of_many_batches(spark, tmp_path):
     """Compaction keeps few runs, however many batches come; none is lost."""
     rows = [(k, " ".join(fx.words(random.Random(k % 9), 20, 500))) for k in range(24)]

@@ -85,6 +85,19 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each statement go when it ends, not when the driver happens to collect
+    its garbage; for statements whose result is written. Then the caller's setting holds again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def columns(names: Iterable[str]) -> list[Column]:
     """Columns by their whole names, whatever characters these hold."""
     return [F.col(f"`{n}`") for n in names]

@@ -23,6 +23,8 @@ Counts of hashes and first documents are aggregated before the shuffle; where a
 third of all documents, the join that follows is a sort-merge join whose skewed partitions Spark
 splits, and a hash of a third of all documents meets one row of counts, not its copies.
 
+Every step of a batch is written, and its shuffle files go with it: the disk holds one step's.
+
 Null and empty texts, and those of under 13 words, lose nothing. Rows of one doc_id are one
 document for this purpose: they never remove words from each other, and each loses what an
 earlier document has. Rows with a null doc_id are neither indexed nor cut. An empty table gives no
@@ -46,7 +48,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm.common import arrow_map, bounded_batches, columns, forget, free_name, fresh_path, raw, read_file, remove, saved, slices, write_file
+from tonewright.llm.common import arrow_map, bounded_batches, columns, forget, free_name, fresh_path, raw, read_file, remove, saved, slices, spent_shuffles, write_file
 
 WINDOW = 13
 GRAM = 5
@@ -215,6 +217,10 @@ class FingerprintIndex:
         """
         if self.runs and corpus is None:
             raise ValueError("the index has runs: the texts of indexed documents are needed to verify what they share with the batch")
+        with spent_shuffles(self.spark):
+            return self._append(batch, corpus)
+
+    def _append(self, batch: DataFrame, corpus: DataFrame | None) -> DataFrame:
         spark = self.spark
         batch = batch.where("doc_id IS NOT NULL")
         folder = self._write(anchors(batch), 0)
@@ -232,12 +238,12 @@ class FingerprintIndex:
             if _MISSING in str(e):
                 raise ValueError(_MISSING) from e
             raise
+        forget(met)
         # plain numbers, so that the aggregation hashes; a struct's minimum would have to sort
         firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.bool_and("new").alias("fresh"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         lost = windows.where("new").join(firsts, ["w1", "w2"]).where("NOT fresh OR doc_id > first").select("doc_id", "w1")
         out = saved(lost, "lost")
         forget(windows)
-        forget(met)
         self._commit([*self.runs, (0, folder)])
         self.compact()
         return out
