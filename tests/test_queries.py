@@ -59,6 +59,20 @@ def test_every_kind_of_case_has_a_query(spark, tmp_path):
     assert whole == parts
 
 
+@pytest.mark.parametrize("name", sorted(cq.REBUILD))
+def test_rebuild(spark, tmp_path, name):
+    sf, con = tables(spark, tmp_path)
+    got = found(cq.REBUILD[name](spark, sf))
+    assert got and got == asked(con, cq.REBUILD_ORACLES[name])
+
+
+def test_every_query_is_registered():
+    import __spark_entry__ as entry
+
+    assert entry.queries().keys() >= q.QUERIES.keys() | cq.QUERIES.keys() | cq.REBUILD.keys()
+    assert entry.oracle_sql().keys() >= cq.ORACLES.keys() | cq.REBUILD_ORACLES.keys()
+
+
 def test_first_words(spark):
     rows = [("mandarin", [1], "a", [("x1", "x")], s) for s in ("two", "one", "three")] + [("mandarin", [2], "b", [("y1", "y")], "two")]
     df = spark.createDataFrame(rows, "system string, cps array<int>, text string, readings array<struct<normalized:string,syllable:string>>, source string").repartition(3)

@@ -22,6 +22,9 @@ from tonewright.queries import _KEYS, HAN, HANGUL, KANA_HAN, Query, _bare, _deri
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The Korean rebuild: its words, and its inputs of up to five letters, which ``all_cases`` doesn't draw.
+REBUILD: dict[str, Query] = {}
+REBUILD_ORACLES: dict[str, str] = {}
 
 TABLES = {"mandarin": seed.MANDARIN, "cantonese": seed.CANTONESE, "zhuyin": seed.ZHUYIN, "japanese": seed.JAPANESE}
 BARE = {"mandarin": _bare, "cantonese": _bare, "zhuyin": _zhuyin_bare, "japanese": str}
@@ -300,8 +303,10 @@ def _korean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.rebuilt_korean([seed.hangul(spark)], [first, second])[1].select("text", "source", F.size("cps").alias("chars"))
 
 
-_add("korean_rebuild", _korean, f"""
+REBUILD["korean_rebuild"] = _korean
+REBUILD_ORACLES["korean_rebuild"] = f"""
 WITH n AS ({whole_names_sql(HANGUL, 4)}), w AS (SELECT name, 0 AS turn, 'b-list' AS source FROM n WHERE id % 3 > 0
   UNION ALL SELECT CASE WHEN id % 7 = 0 THEN right(name, 1) ELSE name END, 1, 'a-list' FROM n)
-SELECT name AS text, arg_min(source, turn) AS source, CAST(length(name) AS INTEGER) AS chars FROM w WHERE length(name) >= 2 GROUP BY name""")
-_add("cases_negative_korean_long", _cases(lambda w, r: cases.negative_cases(r, "korean", 20_000, 20260714, longest=5)), _negative_sql("korean", 20_000, 20260714, 5))
+SELECT name AS text, arg_min(source, turn) AS source, CAST(length(name) AS INTEGER) AS chars FROM w WHERE length(name) >= 2 GROUP BY name"""
+REBUILD["cases_negative_korean_long"] = _cases(lambda w, r: cases.negative_cases(r, "korean", 20_000, 20260714, longest=5))
+REBUILD_ORACLES["cases_negative_korean_long"] = _negative_sql("korean", 20_000, 20260714, 5)
