@@ -83,6 +83,23 @@ def test_build(spark):
     assert [(x.syllable, x.tone) for x in z.where(F.col("cp") == ord("大")).where("system = 'zhuyin'").collect()] == [("ㄉㄚ", 4)]
 
 
+def test_first_keys(spark, monkeypatch):
+    """Rows get their own key and the least others; no array holds all keys of a surface."""
+    pairs = [("a", f"k{i:03}") for i in range(60)] + [("b", f"k{i:03}") for i in range(3)] + [("a", "k001")]
+    df = spark.createDataFrame(pairs, "input string, key string")
+    rows = df.withColumnRenamed("key", "sourceEntry")
+    expected = []
+    for s, k in pairs:
+        every = sorted({x for t, x in pairs if t == s})
+        expected.append((s, k, ([k] + [x for x in every if x != k])[:24], len(every)))
+    for hot in (etl.HOT_KEYS, 10):
+        monkeypatch.setattr(etl, "HOT_KEYS", hot)
+        got = etl.with_first_keys(rows, df, "input", "sourceEntry").select("input", "sourceEntry", "expected", "expectedTotal")
+        assert sorted(map(tuple, got.collect())) == sorted(expected)
+    made = cases.word_cases(_words(spark), seed.readings(spark))
+    assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cases_match(spark):
     """Every positive case finds its source, every negative doesn't, by the engine itself."""
     from tonewright.functions import keyboards

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions import fuzzy, keyboards
 from tonewright.functions import text as tx
-from tonewright.operators.etl import capped, equivalents, reproducible, sampled
+from tonewright.operators.etl import equivalents, reproducible, sampled, with_first_keys
 
 LATIN = ("a", "x", "ab", "xy", "test", "item", "abc", "config")
 COLUMNS = ("id", "system", "level", "mode", "keyboard", "input", "variant", "fuzzies", "expected", "expectedTotal", "sourceEntry", "sourceText", "polarity")
@@ -37,10 +37,8 @@ def _case(df: DataFrame, prefix: str, system: str, level: str, mode: str, keyboa
 
 
 def _indexed(df: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows (input, source) with the capped bucket of their input from an index (input, key)."""
-    buckets = index.groupBy("input").agg(F.collect_set("key").alias("bucket"))
-    got = df.join(buckets, "input").withColumn("c", capped(F.col("bucket"), F.col("sourceEntry")))
-    return got.withColumn("expected", F.col("c.expected")).withColumn("expectedTotal", F.col("c.total")).drop("bucket", "c")
+    """Rows (input, sourceEntry) with the first keys of their input in an index (input, key), which has theirs."""
+    return with_first_keys(df, index, "input", "sourceEntry")
 
 
 def _typed(system: str, s: Column) -> Column:

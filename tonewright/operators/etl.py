@@ -112,6 +112,38 @@ def capped(keys: Column, source: Column, cap: int = 24) -> Column:
     return F.struct(F.slice(first, 1, cap).alias("expected"), F.size(own).alias("total"))
 
 
+#: Different keys of a surface that are handed out.
+CAP = 24
+#: Keys of a surface above which its rows are joined where they lie instead of meeting in one task.
+HOT_KEYS = 10_000
+
+
+def first_keys(pairs: DataFrame, key: str = "key", surface: str = "surface", cap: int = CAP) -> DataFrame:
+    """(surface, keys, total): the ``cap`` smallest different keys of each surface, sorted, and the
+    number of all. No array ever holds more, however many keys share a surface."""
+    one = pairs.select(surface, key).distinct()
+    place = F.row_number().over(Window.partitionBy(surface).orderBy(F.asc_nulls_last(key)))
+    first = one.withColumn("place", place).where(F.col("place") <= cap).groupBy(surface).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    return first.join(one.groupBy(surface).agg(F.count(key).alias("total")), surface)
+
+
+def with_first_keys(rows: DataFrame, index: DataFrame, surface: str, source: str, cap: int = CAP) -> DataFrame:
+    """Rows with expected, the first ``cap`` keys of their surface after their own, and expectedTotal.
+
+    ``index`` (surface, key) must hold every row's own key. Surfaces with more than ``HOT_KEYS``
+    keys are sent to every task: there is at most one to as many rows.
+    """
+    firsts = first_keys(index, "key", surface, cap)
+    found = F.struct("keys", "total")
+    hot = firsts.where(F.col("total") > HOT_KEYS).select(surface, found.alias("hot"))
+    cold = firsts.where(F.col("total") <= HOT_KEYS).select(F.col(surface).alias("at"), found.alias("cold"))
+    # rows of hot surfaces have keys of their own, which no surface has
+    at = F.when(F.col("hot").isNull(), F.col(surface)).otherwise(F.concat(F.lit("\0"), F.col(source)))
+    got = rows.join(F.broadcast(hot), surface, "left").withColumn("at", at).join(cold, "at", "left").withColumn("c", F.coalesce("hot", "cold")).where("c IS NOT NULL")
+    own = F.when(F.col(source).isNull(), F.col("c.keys")).otherwise(F.concat(F.array(source), F.array_remove("c.keys", F.col(source))))
+    return got.withColumn("expected", F.slice(own, 1, cap)).withColumn("expectedTotal", F.col("c.total")).drop("at", "hot", "cold", "c")
+
+
 def reproducible(words: DataFrame, readings: DataFrame, toned: bool = False) -> DataFrame:
     """Words whose every character carries the reading that the word gives it: a semi-join.
 
