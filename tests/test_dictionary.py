@@ -100,6 +100,19 @@ def test_first_keys(spark, monkeypatch):
     assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_words_are_tested_where_they_lie(spark, monkeypatch):
+    """Few kinds of missing readings: no word is shuffled; many: the same words by a join."""
+    r = seed.readings(spark).where("system <> 'korean'")
+    odd = spark.createDataFrame([("mandarin", [20013], "中", [(None, None)], "t"), (None, [20013], "中", [("zhong1", "zhong")], "t"), (None, [], "", [], "t")], "system string, cps array<int>, text string, readings array<struct<normalized:string,syllable:string>>, source string")
+    words = _words(spark).union(odd)
+    texts = lambda toned: sorted((w.text, w.system or "") for w in etl.reproducible(words, r, toned).collect())
+    assert "Exchange" not in etl.reproducible(words, r)._jdf.queryExecution().executedPlan().toString()
+    near = texts(False), texts(True)
+    assert [len(x) for x in near] == [5, 4]
+    monkeypatch.setattr(etl, "FEW_KINDS", 0)
+    assert (texts(False), texts(True)) == near
+
+
 def test_cases_match(spark):
     """Every positive case finds its source, every negative doesn't, by the engine itself."""
     from tonewright.functions import keyboards

@@ -144,19 +144,32 @@ def with_first_keys(rows: DataFrame, index: DataFrame, surface: str, source: str
     return got.withColumn("expected", F.slice(own, 1, cap)).withColumn("expectedTotal", F.col("c.total")).drop("at", "hot", "cold", "c")
 
 
+#: Kinds of missing readings up to which each word is held against all of them.
+FEW_KINDS = 1_000
+
+
 def reproducible(words: DataFrame, readings: DataFrame, toned: bool = False) -> DataFrame:
-    """Words whose every character carries the reading that the word gives it: a semi-join.
+    """Words whose every character carries the reading that the word gives it.
 
     A word passes if it has one reading per code point and no (code point, reading) of it is
-    missing from the table; characters are joined by equality, words are never compared.
+    missing from the table. Missing ones are looked up once for each kind of place; if there are
+    few kinds, words are tested where they lie, else by an anti-join. Words are never compared.
     """
     part = "normalized" if toned else "syllable"
-    even = words.where("size(cps) = size(readings)").withColumn("word", F.struct("system", "cps", "text", "readings"))
-    places = even.select("word", "system", F.explode(F.arrays_zip("cps", F.transform("readings", lambda r: r[part]).alias("said"))).alias("z"))
-    places = places.select("word", "system", F.col("z.cps").alias("cp"), F.col("z.said").alias("said"))
-    held = readings.select("system", "cp", F.col(part).alias("said")).distinct()
-    lacking = places.join(held, ["system", "cp", "said"], "left_anti").select("word").distinct()
-    return even.join(lacking, "word", "left_anti").select(*words.columns)
+    kind = lambda cp, said: F.concat(cp.cast("string"), F.lit("\0"), "system", F.lit("\0"), said)
+    even = words.where("size(cps) = size(readings)")
+    kinds = F.transform(F.arrays_zip("cps", F.transform("readings", lambda r: r[part]).alias("said")), lambda z: kind(z["cps"], z["said"]))
+    held = readings.select(kind(F.col("cp"), F.col(part)).alias("kind")).distinct()
+    lacking = even.select(F.explode(kinds).alias("kind")).distinct().join(held, "kind", "left_anti")
+    few = [r.kind for r in lacking.limit(FEW_KINDS + 1).collect()]
+    if len(few) > FEW_KINDS:
+        marked = even.withColumn("word", F.struct("system", "cps", "text", "readings"))
+        bad = marked.select("word", F.explode(kinds).alias("kind")).join(held, "kind", "left_anti").select("word").distinct()
+        return marked.join(bad, "word", "left_anti").select(*words.columns)
+    if None in few:
+        even = even.where(~F.exists(kinds, lambda k: k.isNull()))
+    named = [F.lit(k) for k in few if k is not None]
+    return even.where(~F.arrays_overlap(kinds, F.array(*named))) if named else even
 
 
 def equivalents(readings: DataFrame, a: str = "mandarin", b: str = "zhuyin") -> DataFrame:
