@@ -113,6 +113,16 @@ def test_words_are_tested_where_they_lie(spark, monkeypatch):
     assert (texts(False), texts(True)) == near
 
 
+def test_spread(spark):
+    """Rows of one file are dealt over all tasks before anything is asked of them."""
+    one = spark.range(100_000, numPartitions=1)
+    df = etl.spread(one, "id").where("id % 7 > 0").select((F.col("id") * 2).alias("x"))
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = lambda word: next(i for i, x in enumerate(lines) if word in x)
+    assert at("Filter") < at("Exchange") and df.count() == 85_714
+    assert sum(df.rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).collect()) > 4
+
+
 def test_cases_match(spark):
     """Every positive case finds its source, every negative doesn't, by the engine itself."""
     from tonewright.functions import keyboards

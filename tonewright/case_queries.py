@@ -262,7 +262,7 @@ def _word_cases(system: str, alphabet: str) -> Query:
             said = F.transform(tx.chars(F.col("name")), lambda c: F.try_element_at(first, c))
         reading = F.transform(said, lambda r: F.struct(r.alias("normalized"), r.alias("syllable")))
         words = n.select(F.lit(system).alias("system"), tx.to_codepoints(F.col("name")).alias("cps"), F.col("name").alias("text"), reading.alias("readings"), F.lit("names").alias("source"))
-        return _flat(cases.word_cases(words, seed.readings(spark), system))
+        return _flat(cases.word_cases(etl.settled(words), seed.readings(spark), system))
 
     return run
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tonewright.functions import fuzzy, keyboards
 from tonewright.functions import text as tx
-from tonewright.operators.etl import equivalents, reproducible, sampled, with_first_keys
+from tonewright.operators.etl import equivalents, reproducible, sampled, settled, with_first_keys
 
 LATIN = ("a", "x", "ab", "xy", "test", "item", "abc", "config")
 COLUMNS = ("id", "system", "level", "mode", "keyboard", "input", "variant", "fuzzies", "expected", "expectedTotal", "sourceEntry", "sourceText", "polarity")
@@ -57,7 +57,7 @@ def char_cases(readings: DataFrame, system: str, variants=("FULL", "PARTIAL", "T
 
 
 def _word_rows(words: DataFrame, spoken: Column) -> DataFrame:
-    return words.select(tx.key_of(F.col("cps")).alias("sourceEntry"), F.col("text").alias("sourceText"), spoken.alias("input")).where("input <> ''")
+    return settled(words.select(tx.key_of(F.col("cps")).alias("sourceEntry"), F.col("text").alias("sourceText"), spoken.alias("input"))).where("input <> ''")
 
 
 def _joined(f) -> Column:

@@ -12,6 +12,18 @@ from tonewright.functions import text as tx
 from tonewright.model import READINGS, WORDS
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, whose columns are computed once: no later use computes them again, and no
+    filter on them goes below."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over all tasks by keys. A small file is read by one task, which would also do
+    all that its rows ask for."""
+    return settled(df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys))
+
+
 def merge_sources(*sources: DataFrame) -> DataFrame:
     """The union of readings tables, each after those before it (column ``source_ord``)."""
     out = None

@@ -53,7 +53,7 @@ def whole_names(spark: SparkSession, sf_dir: str, alphabet: str = HAN, width: in
     """(id, name) of part: keys in at least ``width`` characters; no digit of a longer one is cut off."""
     k = F.col("p_partkey").cast("string")
     padded = F.when(F.length(k) < width, F.lpad(k, width, "0")).otherwise(k)
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.translate(padded, DIGITS, alphabet).alias("name"))
+    return etl.spread(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("id"), F.translate(padded, DIGITS, alphabet).alias("name"))
 
 
 def whole_names_sql(alphabet: str = HAN, width: int = WIDTH) -> str:
@@ -357,11 +357,11 @@ SELECT syllable, cp, array_to_string(([cp] || list_filter(keys, lambda k: k <> c
 
 def _derived_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Names as words, with the sounds that some of their digits really have."""
-    n = (whole_names if whole else names)(spark, sf_dir, HAN, 4)
+    n = whole_names(spark, sf_dir, HAN, 4) if whole else etl.spread(names(spark, sf_dir, HAN, 4), "id")
     sound = lambda c, i: F.when((F.col("id") + i) % 5 == 0, "xia4").otherwise(F.try_element_at(F.create_map(*[F.lit(x) for c in HAN for x in (c, seed.MANDARIN[c].split()[0])]), c))
-    said = F.transform(tx.chars(F.col("name")), sound)
-    reading = F.transform(said, lambda r: F.struct(r.alias("normalized"), F.regexp_replace(r, "[0-9]$", "").alias("syllable")))
-    return n.select("id", F.lit("mandarin").alias("system"), tx.to_codepoints(F.col("name")).alias("cps"), F.col("name").alias("text"), reading.alias("readings"), F.lit("names").alias("source"))
+    n = etl.settled(n.select("id", "name", F.transform(tx.chars(F.col("name")), sound).alias("said")))
+    reading = F.transform("said", lambda r: F.struct(r.alias("normalized"), F.regexp_replace(r, "[0-9]$", "").alias("syllable")))
+    return etl.settled(n.select("id", F.lit("mandarin").alias("system"), tx.to_codepoints(F.col("name")).alias("cps"), F.col("name").alias("text"), reading.alias("readings"), F.lit("names").alias("source")))
 
 
 def _reproducible(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
