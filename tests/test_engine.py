@@ -110,6 +110,21 @@ def test_batch_search_is_single_search(spark, engine, mode, options):
     assert got == expected
 
 
+def test_batch_search_steps(spark, engine, monkeypatch):
+    """A step is one join, with moves that lead from prefix to prefix, whether they are sent or not."""
+    names = spark.createDataFrame([(0, "中国"), (1, "大会人"), (2, "人大"), (3, "国中国")], "id long, name string")
+    queries = spark.createDataFrame([(0, "guo"), (1, "zhongg"), (2, "daihui"), (3, "r")], "qid long, query string")
+    moves = search.query_moves(search.name_index(engine, names, Q), queries.select("query"), True)
+    got = {(m.spelt, m.key, m.next, m.whole, m.full) for m in moves.collect()}
+    assert got == {("", "国", "guo", True, True), ("", "大", "da", False, True), ("", "中", "zhong", False, True), ("zhong", "国", "zhongg", True, False), ("", "大", "dai", False, True), ("dai", "会", "daihui", True, True), ("", "人", "r", True, False)}
+    plan = search.search_batch(engine, names, queries, Q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan  # one task's names become work for all
+    expected = {(0, 0), (0, 3), (1, 0), (1, 3), (2, 1), (3, 1), (3, 2)}
+    for most in (search.SENT_MOVES, 0):
+        monkeypatch.setattr(search, "SENT_MOVES", most)
+        assert {tuple(r) for r in search.search_batch(engine, names, queries, Q).collect()} == expected
+
+
 def test_put(spark, engine):
     s = search.Searcher.best(engine, MatchMode.CONTAINS, Q).put(spark.createDataFrame([(1, "中国"), (1, "中国")], "id long, name string"))
     assert s.search("guo").count() == 2

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonewright.functions import text as tx
 from tonewright.model import MatchMode, Options, PolyphoneMode
 from tonewright.operators.engine import Engine
+from tonewright.operators.etl import spread
 from tonewright.plans.compiler import FORCED, forced_keys
 
 
@@ -65,39 +66,52 @@ def name_index(engine: Engine, names: DataFrame, options: Options) -> DataFrame:
     return found.join(every, "ch", "left").select("key", F.array_distinct(F.concat(F.coalesce(typed, F.array().cast("array<string>")), literal)).alias("surfaces"))
 
 
-#: Prefixes of queries up to which their table is sent to every task; more are joined by shuffle.
-SENT_PREFIXES = 200_000
-#: Keys of names (characters, or in precise mode characters of words) up to which theirs is.
-SENT_KEYS = 200_000
+#: Moves from a prefix of a query to a longer one up to which their table is sent to every task.
+SENT_MOVES = 200_000
 #: Steps after which equal spellings of a name are merged.
 MERGE_STEPS = 4
 
 
+def query_moves(index: DataFrame, texts: DataFrame, partial: bool) -> DataFrame:
+    """(spelt, key, next, whole, full): from a prefix of some query, by a key, to a longer prefix.
+
+    ``whole``: that prefix is a query; ``full``: the key's form is typed to its end (else the query
+    ends inside it). As large as the queries' prefixes times the keys that sound alike.
+    """
+    cut = lambda c, n: F.substring(c, F.lit(1), n)
+    ends = F.transform(F.sequence(F.lit(1), F.length("query")), lambda n: F.struct(cut(F.col("query"), n).alias("next"), (n == F.length("query")).alias("whole")))
+    targets = texts.select(F.inline(ends)).groupBy("next").agg(F.max("whole").alias("whole"))
+    parted = F.transform(F.sequence(F.lit(0), F.length("next") - 1), lambda n: F.struct(cut(F.col("next"), n).alias("spelt"), F.substring("next", n + 1, F.length("next")).alias("form")))
+    typed = index.select("key", F.explode("surfaces").alias("s")).where("s <> ''")
+    if partial:
+        forms = typed.select("key", F.inline(F.transform(F.sequence(F.lit(1), F.length("s")), lambda n: F.struct(cut(F.col("s"), n).alias("form"), (n == F.length("s")).alias("full")))))
+    else:
+        forms = typed.select("key", F.col("s").alias("form"), F.lit(True).alias("full"))
+    moves = targets.select("next", "whole", F.inline(parted)).join(forms, "form").where("full OR whole")
+    return moves.groupBy("spelt", "key", "next").agg(F.max("whole").alias("whole"), F.max("full").alias("full"))
+
+
 def search_batch(engine: Engine, names: DataFrame, queries: DataFrame, options: Options, mode: MatchMode = MatchMode.CONTAINS) -> DataFrame:
     """(qid, id) of all queries (qid, query) against all names (id, name).
 
     Names are spelt from each place a match may start at, a character at a time; what has been
-    spelt stays only while it is a prefix of some query. Every step joins by equality: the next
-    character with its typed forms, and the spelling with the queries' prefixes. So work follows
+    spelt stays only while it is a prefix of some query. Every step is one join by equality, of the
+    spelling and the next character with the moves between the queries' prefixes. So work follows
     the spellings that lead somewhere, never names times queries, and there are as many steps as
     the longest query or name has characters. Found spellings pass through later steps as they
-    are, so that all steps are one plan. The index of characters and the prefixes are sent to every
-    task while they are counted to be few, and joined by shuffle beyond.
+    are, so that all steps are one plan. The moves are sent to every task while they are counted to
+    be few, and joined by shuffle beyond. Names are dealt over all tasks first.
     """
     queries = queries.select("qid", "query")
-    named = names.select("id", "name")
+    named = spread(names.select("id", "name"), "id")
     blank = queries.where("query = ''").select("qid")
     every = named.where("name = ''") if mode is MatchMode.EXACT else named
     asked = queries.where("query <> ''")
     texts = asked.select("query").distinct()
-    longest, total = texts.agg(F.coalesce(F.max(F.length("query")), F.lit(0)), F.coalesce(F.sum(F.length("query")), F.lit(0))).first()
-    cut = lambda c, n: F.substring(c, F.lit(1), n)
-    prefix = F.transform(F.sequence(F.lit(1), F.length("query")), lambda n: F.struct(cut(F.col("query"), n).alias("spelt"), (n == F.length("query")).alias("whole")))
-    targets = texts.select(F.inline(prefix)).groupBy("spelt").agg(F.max("whole").alias("whole"))
-    targets = F.broadcast(targets) if total <= SENT_PREFIXES else targets
-    index = name_index(engine, named, options)
-    if index.count() <= SENT_KEYS:
-        index = F.broadcast(index)
+    longest = texts.agg(F.coalesce(F.max(F.length("query")), F.lit(0))).first()[0]
+    moves = query_moves(name_index(engine, named, options), texts, mode.partial)
+    if moves.limit(SENT_MOVES + 1).count() <= SENT_MOVES:
+        moves = F.broadcast(moves)
     keys = forced_keys(F.col("name"), options) if options.polyphone is PolyphoneMode.PRECISE else tx.chars(F.col("name"))
     spelt = named.where("name <> ''").select("id", keys.alias("keys"))
     if mode is MatchMode.EXACT:
@@ -109,18 +123,14 @@ def search_batch(engine: Engine, names: DataFrame, queries: DataFrame, options:
     for at in range(1, steps + 1):
         # found spellings have keys that no character has, a different one for each name
         key = F.when(F.col("done"), F.concat(F.lit("\x02-"), F.xxhash64("id").cast("string"))).otherwise(F.get("keys", F.lit(at - 1)))
-        typed = lambda s: F.struct(F.concat("spelt", s).alias("spelt"), F.lit(True).alias("full"))
-        part = lambda s, n: F.struct(F.concat(F.col("spelt"), cut(s, n)).alias("spelt"), (n == F.length(s)).alias("full"))
-        if mode.partial:  # the query may end inside what is typed next
-            forms = F.array_distinct(F.flatten(F.transform("surfaces", lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda n: part(s, n)))))
-        else:
-            forms = F.transform("surfaces", typed)
-        as_is = F.array(F.struct("spelt", F.lit(True).alias("full")))
-        step = state.withColumn("key", key).join(index, "key", "left").select("id", "keys", "done", F.inline(F.when(F.col("done"), as_is).otherwise(forms)))
-        ends = F.col("full") & (F.size("keys") == at) if mode is MatchMode.EXACT else F.lit(True)
-        found = F.when(F.col("done") | (F.col("whole") & ends), F.lit(True))
-        goes_on = F.when(~F.col("done") & F.col("full") & (F.size("keys") > at), F.lit(False))
-        state = step.join(targets, "spelt").select("id", "keys", "spelt", F.explode(F.array_compact(F.array(found, goes_on))).alias("done"))
+        ends = F.size("keys") == at if mode is MatchMode.EXACT else F.lit(True)
+        found = F.when(F.col("whole") & ends, F.struct(F.col("next").alias("spelt"), F.lit(True).alias("done")))
+        goes_on = F.when(F.col("full") & (F.size("keys") > at), F.struct(F.col("next").alias("spelt"), F.lit(False).alias("done")))
+        as_is = F.array(F.struct("spelt", "done"))
+        step = state.withColumn("key", key).join(moves, ["spelt", "key"], "left").where("done OR next IS NOT NULL")
+        state = step.select("id", "keys", F.inline(F.when(F.col("done"), as_is).otherwise(F.array_compact(F.array(found, goes_on)))))
+        # what is found needs its name's characters no more
+        state = state.withColumn("keys", F.when(~F.col("done"), F.col("keys")))
         if at % MERGE_STEPS == 0:
             state = state.distinct()
     out = state.where("done").select("id", "spelt").distinct().join(asked.withColumnRenamed("query", "spelt"), "spelt").select("qid", "id")
